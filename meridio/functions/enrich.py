@@ -8,8 +8,10 @@ import hmac
 import re
 from urllib.parse import parse_qsl, unquote, urlsplit
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Names and domains of traffic sources, mediums, and channel names.
 SEARCH_DOMAINS = ["bing.com", "duckduckgo.com", "yahoo.com", "yahoo.co.jp", "baidu.com", "yandex.com", "yandex.ru", "ecosia.org", "search.brave.com", "startpage.com", "perplexity.ai", "qwant.com", "kagi.com"]
@@ -61,7 +63,9 @@ def channel(referrer_domain: Column, source: Column, medium: Column, any_signal:
 
 
 UTM = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content")
-DERIVED = "struct<pathname:string,hostname:string,utm_source:string,utm_medium:string,utm_campaign:string,utm_term:string,utm_content:string,referrer_domain:string,unresolved:boolean,is_page:boolean>"
+DERIVED = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("pathname", "hostname", *UTM, "referrer_domain")] + [T.StructField(n, T.BooleanType()) for n in ("unresolved", "is_page")]
+)
 BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
 CONTROL = re.compile(r"[\x00-\x1f\x7f]")
 
@@ -113,8 +117,7 @@ def attribution(url: str, referrer: str, pathname: str = "", hostname: str = "",
 
 
 @F.pandas_udf(DERIVED)
-def derive_udf(url: "pd.Series", referrer: "pd.Series", pathname: "pd.Series", hostname: "pd.Series") -> "pd.DataFrame":  # noqa: F821
-    import pandas as pd
+def derive_udf(url: pd.Series, referrer: pd.Series, pathname: pd.Series, hostname: pd.Series) -> pd.DataFrame:
 
     rows = [attribution(u or "", r or "", p or "", h or "") for u, r, p, h in zip(url, referrer, pathname, hostname, strict=True)]
     return pd.DataFrame(rows, columns=["pathname", "hostname", *UTM, "referrer_domain", "unresolved", "is_page"])
@@ -179,8 +182,7 @@ def cookieless_ids(rows: DataFrame, salts: dict[str, bytes], now_day: str, yeste
     held = {d: s for d, s in salts.items() if d in (now_day, yesterday)}
 
     @F.pandas_udf("string")
-    def of(day: "pd.Series", project: "pd.Series", ip: "pd.Series", agent: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
+    def of(day: pd.Series, project: pd.Series, ip: pd.Series, agent: pd.Series) -> pd.Series:
 
         return pd.Series([cookieless_id(held[d], p, i or "", a or "") if d in held else None for d, p, i, a in zip(day, project, ip, agent, strict=True)])
 
