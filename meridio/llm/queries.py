@@ -104,13 +104,13 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_bucket_topk": """
             WITH v AS (
-                SELECT vec_id, min(list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS q
+                SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT))) AS q
                 FROM embeddings
                 WHERE embedding IS NOT NULL AND len(embedding) > 0
-                  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
                 GROUP BY vec_id
             ), s AS (
-                SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT) AS score
+                SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
                 FROM v a JOIN v b ON a.vec_id <> b.vec_id
                 WHERE a.vec_id % 20 = 0
             ), r AS (
@@ -129,10 +129,10 @@ def oracle_sql() -> dict[str, str]:
             FROM f""",
         "op10_pca_dedup": """
             WITH RECURSIVE v AS (
-                SELECT vec_id, min(list_transform(embedding, x -> CAST(x AS DOUBLE))) AS e FROM embeddings GROUP BY vec_id
+                SELECT vec_id, min(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS e FROM embeddings GROUP BY vec_id
             ), good AS (
                 SELECT vec_id, e FROM v
-                WHERE e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+                WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
             ), link AS (
                 SELECT a.vec_id AS u, b.vec_id AS w FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
                 WHERE list_cosine_similarity(a.e, b.e) >= 0.9

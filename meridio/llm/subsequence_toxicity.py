@@ -28,6 +28,8 @@ DECAY = 0.85
 #: Sharpness of the kernel in the count of common subsequences, and the count under which it is 0.
 SHARP, FLOOR = 4.0, 0.35
 TURNS = 3
+#: Log odds from which a span is taken as a witness: in four toxic texts and no clean one, or as good.
+SURE = float(np.log(8))
 #: Labelled documents of each class that training may read, spans it may keep, and landmarks.
 SAMPLE_PER_CLASS, MAX_SPANS, LANDMARKS = 1200, 60_000, 96
 #: A worker's memory of span scores is emptied beyond this many entries.
@@ -192,14 +194,15 @@ def fit(bags: list[tuple[set[str], int]], seed: int = 5) -> Machine:
     negatives = sorted(clean, key=lambda s: (-clean[s], s))[: MAX_SPANS // 8]
     rest = sorted(set(clean) - set(negatives))
     negatives += [rest[i] for i in rng.permutation(len(rest))[: MAX_SPANS - len(negatives)]]
-    machine = Machine([], np.zeros(0), 0.0, 1.0, 0.0)
-    for turn in range(TURNS):
+    machine, margin = Machine([], np.zeros(0), 0.0, 1.0, 0.0), {}
+    for _ in range(TURNS):
         count: dict[str, int] = {}
         for s in witness:
-            if turn == 0 or odds[s] >= np.log(3):  # a span that clean texts hold as often says nothing
+            # a rare span of a wrongly labelled text says nothing, unless it resembles what is known
+            if odds[s] >= SURE or margin.get(s, -1) > 0:
                 count[s] = count.get(s, 0) + 1
         if not count:
-            break
+            count = {s: 1 for s in witness}
         machine.landmarks = sorted(count, key=lambda s: (-count[s], s))[: LANDMARKS * 3 // 4]
         machine.prepare()
         pos = sorted(count)
@@ -220,7 +223,7 @@ def fit(bags: list[tuple[set[str], int]], seed: int = 5) -> Machine:
         w, machine.bias = linear_svm(x @ whiten, y, cost)
         machine.weight = whiten @ w
         # a witness of better margin replaces one whose odds said little
-        weak = [i for i, s in enumerate(witness) if odds[s] < np.log(8)]
+        weak = [i for i, s in enumerate(witness) if odds[s] < SURE]
         pool = sorted(set().union(*[bad[i] for i in weak])) if weak else []
         margin = dict(zip(pool, machine.margins(pool), strict=True))
         for i in weak:

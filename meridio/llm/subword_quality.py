@@ -23,6 +23,8 @@ GRAMS = (3, 4)
 DIM = 8
 #: Rows of each class that training may use: the bound of what the driver gathers.
 SAMPLE_PER_CLASS = 1200
+#: Updates that training makes at least, so that a small sample is read more often.
+UPDATES = 12_000
 #: A text is cut at white space into pieces of about this size, whose sums are added.
 PIECE = 1 << 20
 _POW = np.cumprod(np.full(256, 16777619, np.uint32), dtype=np.uint32)
@@ -96,6 +98,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, epochs: in
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (SIZE, DIM))
     out, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    epochs = max(epochs, -(-UPDATES // len(rows)))
     steps, done = epochs * len(rows), 0
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
