@@ -33,7 +33,8 @@ SURE = float(np.log(8))
 #: Labelled documents of each class that training may read, spans it may keep, and landmarks.
 SAMPLE_PER_CLASS, MAX_SPANS, LANDMARKS = 1200, 60_000, 96
 #: A worker's memory of span scores is emptied beyond this many entries.
-MEMO = 400_000
+MEMO = 1_000_000
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RUN = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _INNER = re.compile(r"[\W_]+")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
@@ -60,7 +61,7 @@ def cut(bare: str) -> list[str]:
 
 def tokens(text: str | None) -> set[str]:
     low = (text or "").lower()
-    return set(low.split()) | {re.sub(r"\s", "", r) for r in RUN.findall(low)}
+    return {w.strip(PUNCTUATION) for w in low.split()} | {re.sub(r"\s", "", r) for r in RUN.findall(low)}
 
 
 _places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
