@@ -61,7 +61,11 @@ def cut(bare: str) -> list[str]:
 
 def tokens(text: str | None) -> set[str]:
     low = (text or "").lower()
-    return {w.strip(PUNCTUATION) for w in low.split()} | {re.sub(r"\s", "", r) for r in RUN.findall(low)}
+    words = low.split()
+    found = {w.strip(PUNCTUATION) for w in set(words)}
+    if sum(len(w) == 1 for w in words) > 2:  # a run has three such words
+        found.update(re.sub(r"\s", "", r) for r in RUN.findall(low))
+    return found
 
 
 _places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
