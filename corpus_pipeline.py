@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meridio.llm import simhash_dedup, subsequence_toxicity, subword_quality, temperature_mix, vector_packing
+from meridio.llm import jaccard_dedup, subsequence_toxicity, subword_quality, temperature_mix, vector_packing
 from meridio.llm.common import write_table
 from meridio.llm.queries import QUALITY_FROM, TOXIC_FROM, table, tokenizer_path
 
@@ -29,8 +29,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest doc_id of each component of near duplicates."""
-    return simhash_dedup.keep_one(docs, words=5).select(docs.columns)
+    """Keeps the document of smallest doc_id of each component of near duplicates: 5-word shingles of Jaccard 0.8 or more."""
+    return jaccard_dedup.keep_one(docs, words=5).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,179 @@
+"""Near duplicates by the exact Jaccard similarity of word shingles, at 4/5 or more.
+
+Texts of equal shingle sets are one class. Two sets of n and m shingles that are similar enough
+share one of the first n - ceil(4n/5) + 1 of the one and of the first shingles of the other, under
+any order of all shingles (prefix filter); the order puts shingles that are frequent in a sample
+last, so few sets meet. Sets that meet, and whose sizes and places in the order allow it, are
+verified on their texts, in two rounds: each against the chosen set of some of its keys, then all
+that still are in different components, so that a large group of copies is not expanded to pairs.
+
+Defined results: words are split and lower-cased as for SimHash fingerprints; fewer words than a
+shingle are one shingle; texts without words are one class; rows of a null doc_id stay; repeated
+rows of a doc_id are kept once; an empty table gives no rows. Texts are read whole.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from meridio.llm.common import connected_components, small_batches, write_table
+
+#: Sets whose shingles are counted for the order, the count from which one is frequent, and the most that are told apart.
+SAMPLE, HOT, MOST_HOT = 4000, 3, 200_000
+#: Keys of a set that the first round takes.
+FIRST = 8
+#: Texts whose shingles a task holds while it verifies.
+HELD = 64
+
+
+def shingles(text: str | None, words: int = 5) -> np.ndarray:
+    """The set of hashed shingles, sorted."""
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(w)
+    ends = np.cumsum([len(x) + 1 for x in w]) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    n = max(1, len(w) - words + 1)
+    last = ends[np.minimum(np.arange(n) + words - 1, len(w) - 1)]
+    return np.unique(np.array([digest(joined[i:j], 42) for i, j in zip(starts[:n].tolist(), last.tolist(), strict=True)], np.uint64))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard of 4/5 or more: 9 common >= 4 (n + m)."""
+    return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
+
+
+def classes(docs: DataFrame, words: int) -> DataFrame:
+    """A row for each distinct shingle set: set_id, node (its smallest doc_id), text."""
+    small_batches(docs.sparkSession)
+
+    @F.pandas_udf("long")
+    def set_id(texts):
+        import pandas as pd
+
+        return pd.Series(np.array([xxhash.xxh64_intdigest(shingles(t, words).tobytes()) for t in texts], np.uint64).view(np.int64))
+
+    rows = docs.where("doc_id is not null").select("doc_id", "text", set_id("text").alias("set_id"))
+    return rows.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("text").alias("text"))
+
+
+def frequent(sets: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that a sample of sets shares, and their counts. They decide the order only, never the result."""
+    step = max(1, sets.count() // SAMPLE)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"key": shingles(text, words).view(np.int64)})
+
+    some = sets.where(F.pmod(F.xxhash64("set_id"), F.lit(step)) == 0).select("text")
+    counts = some.mapInPandas(run, "key long").groupBy("key").count().where(F.col("count") >= HOT)
+    got = counts.orderBy(F.desc("count"), "key").limit(MOST_HOT).collect()
+    keys = np.array([r[0] for r in got], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r[1] for r in got], np.int64)[order]
+
+
+def prefix(s: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set in the order of (count in the sample, hash)."""
+    if not len(s):
+        return s
+    keys, counts = hot
+    weight = np.zeros(len(s), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+        weight = np.where(keys[at] == s, counts[at], 0)
+    return s[np.lexsort((s, weight))[: len(s) - (4 * len(s) + 4) // 5 + 1]]
+
+
+def prefixes(sets: DataFrame, hot: tuple[np.ndarray, np.ndarray], words: int) -> DataFrame:
+    """A row for each shingle of a prefix: key, set_id, n (size of the set), at (place in the order)."""
+    held = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            found = [shingles(t, words) for t in batch["text"]]
+            first = [prefix(s, held.value) for s in found]
+            sizes = [len(p) for p in first]
+            yield pd.DataFrame({
+                "key": np.concatenate([*first, np.zeros(0, np.uint64)]).view(np.int64),
+                "set_id": np.repeat(batch["set_id"].to_numpy(np.int64), sizes),
+                "n": np.repeat([len(s) for s in found], sizes),
+                "at": np.concatenate([*(np.arange(k) for k in sizes), np.zeros(0, np.int64)]),
+            })
+
+    return sets.select("set_id", "text").mapInPandas(run, "key long, set_id long, n int, at int")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(u, v) of set_ids -> those that are similar, with the sets' nodes a and b."""
+    small_batches(pairs.sparkSession)
+    left = sets.select(F.col("set_id").alias("u"), F.col("node").alias("a"), F.col("text").alias("s"))
+    right = sets.select(F.col("set_id").alias("v"), F.col("node").alias("b"), F.col("text").alias("t"))
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def of(i, text):
+            if i not in held:
+                if len(held) >= HELD:
+                    held.clear()
+                held[i] = shingles(text, words)
+            return held[i]
+
+        for batch in batches:
+            ok = [similar(of(u, s), of(v, t)) for u, s, v, t in zip(batch["u"], batch["s"], batch["v"], batch["t"], strict=True)]
+            yield batch.loc[ok, ["u", "v", "a", "b"]]
+
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b", "s", "t").mapInPandas(run, "u long, v long, a long, b long")
+
+
+def may_be_similar(x: str, y: str) -> str:
+    """Sizes and places in the order leave room for 4/5; true of the first shingle that a similar pair shares."""
+    return f"9 * least({x}.n - {x}.at, {y}.n - {y}.at) >= 4 * ({x}.n + {y}.n)"
+
+
+def links(sets: DataFrame, words: int = 5) -> DataFrame:
+    """(a, b) of nodes, whose components are those of all pairs of similar sets."""
+    rows = prefixes(sets, frequent(sets, words), words)
+    of_key = Window.partitionBy("key")
+    chosen = F.min(F.struct(F.xxhash64("key", "set_id").alias("h"), "set_id", "n", "at")).over(of_key)
+    meeting = rows.select("*", F.count("*").over(of_key).alias("m"), chosen.alias("y")).where("m > 1").drop("m")
+    shared, _ = write_table(meeting, "prefixes")
+    texts, _ = write_table(sets.join(shared.select("set_id").distinct(), "set_id", "left_semi"), "meeting")
+
+    pair = [F.least("x.set_id", "y.set_id").alias("u"), F.greatest("x.set_id", "y.set_id").alias("v")]
+    near = shared.select(F.struct("set_id", "n", "at").alias("x"), "key", "y").where(f"x.set_id <> y.set_id and {may_be_similar('x', 'y')}")
+    some = Window.partitionBy("x.set_id").orderBy(F.xxhash64("key"), "key")
+    tried, _ = write_table(near.withColumn("nth", F.row_number().over(some)).where(F.col("nth") <= FIRST).select(*pair).distinct(), "tried")
+    first, _ = write_table(verified(tried, texts, words), "links")
+
+    joined = connected_components(first.select("u", "v"))
+    placed = shared.select("key", "set_id", "n", "at").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "set_id"))
+    apart = placed.select("*", F.min("component").over(of_key).alias("low"), F.max("component").over(of_key).alias("high")).where("low < high").drop("low", "high")
+    apart, _ = write_table(apart, "apart")
+    x, y = apart.alias("x"), apart.alias("y")
+    met = x.join(y, F.expr(f"x.key = y.key and x.set_id < y.set_id and x.component <> y.component and {may_be_similar('x', 'y')}"))
+    rest = met.select(*pair).distinct().join(tried, ["u", "v"], "left_anti")
+    second, _ = write_table(verified(rest, texts, words), "links")
+    return first.select("a", "b").unionByName(second.select("a", "b"))
+
+
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs without all but one of each component: its smallest doc_id, once. Rows of a null doc_id stay."""
+    sets, _ = write_table(classes(docs, words), "sets")
+    found = connected_components(links(sets, words).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    kept = sets.select(F.col("node").alias("doc_id")).distinct().join(found.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    once = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    return once.unionByName(docs.where("doc_id is null"))

@@ -314,3 +314,54 @@ def test_pipeline(spark):
     assert sum(i in ids for i in bad) <= 0.03 * len(bad)
     mixed = corpus_pipeline.mixing(spark, kept, sf)
     assert {r.doc_id for r in mixed.select("doc_id").collect()} == ids
+
+
+def plain_shingles(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def plain_links(texts):
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    return [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def edited_docs(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 400, n)]
+    texts = {r.doc_id: r.text for r in docs_of(spark).collect() if r.doc_id is not None}
+    passage = word(30)
+    for k in range(60):  # near copies with up to 4 words replaced, of bases that share a passage
+        base = passage + word(int(rng.integers(20, 250)))
+        for j in range(3):
+            t = list(base)
+            for at in rng.integers(0, len(t), int(rng.integers(0, 5))):
+                t[at] = f"x{rng.integers(1000)}"
+            texts[1000 + 10 * k + j] = " ".join(t)
+    base = word(150)
+    texts[3000] = " ".join(base)
+    for k in range(1, 80):  # one large group: copies that are near to the base and mostly not to each other
+        t = list(base)
+        for at in rng.integers(0, 150, 2):
+            t[at] = f"y{rng.integers(1000)}"
+        texts[3000 + k] = " ".join(t)
+    return texts
+
+
+@pytest.mark.parametrize("hot,first", [(3, 8), (10**9, 1)])
+def test_pipeline_near_duplicates_against_all_pairs(spark, monkeypatch, hot, first):
+    import corpus_pipeline
+
+    from meridio.llm import jaccard_dedup
+
+    monkeypatch.setattr(jaccard_dedup, "HOT", hot)
+    monkeypatch.setattr(jaccard_dedup, "FIRST", first)
+    texts = edited_docs(spark)
+    links = plain_links(texts)
+    assert sum(texts[a] != texts[b] for a, b in links) > 100
+    want = set(components(list(texts), links).values())
+    docs = spark.createDataFrame([*texts.items(), (20, texts[20]), (None, "no id")], "doc_id long, text string")
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(want) and kept.count(None) == 1
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
