@@ -109,7 +109,10 @@ def search(queries, bounds, ids, vectors, k: int):
             for f in np.argsort(-np.abs(u), kind="stable")[:FOCUS]:
                 room = np.sqrt(max(0.0, (1 - u[f] ** 2) * (1 - t * t))) + 1e-7
                 x = flat[live, f]
-                live = live[(x >= u[f] * t - room) & ((x <= u[f] * t + room) | (x >= u[f]))]
+                # angles within acos(t) of the query's take in the axis itself where |u| > t: the range ends at -1 or 1 then
+                low = -np.inf if u[f] <= -t else u[f] * t - room
+                high = np.inf if u[f] >= t else u[f] * t + room
+                live = live[(x >= low) & (x <= high)]
             emit(i, live, products(q[i : i + 1], vectors[live])[0])
     if not out:
         return [np.zeros(0, np.int64)] * 3

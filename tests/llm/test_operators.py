@@ -134,6 +134,21 @@ def test_coordinate_pruning_is_exact():
         assert got[1][mine].tolist() == ids[keep][order].tolist()
 
 
+@pytest.mark.parametrize("sign", [-1, 1])
+def test_coordinate_pruning_keeps_a_dominant_axis(sign):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(600, 8)) * 3
+    v[:, 0] += sign * 100
+    v = np.floor(v).astype(np.int64)
+    ids, q = np.arange(600), v[:20]
+    scores = q @ v.T
+    scores[np.arange(20), np.arange(20)] = -(2**62)
+    bounds = np.sort(scores, 1)[:, -20]
+    got = bucket_topk.search((ids[:20], q, np.sqrt((q.astype(float) ** 2).sum(1))), bounds, ids, v, 20)
+    for i in range(20):
+        assert got[1][got[0] == i].tolist() == ids[np.lexsort((ids, -scores[i]))[:20]].tolist()
+
+
 def test_shards(spark):
     docs = docs_of(spark)
     rows = histogram_shards.shard(docs.drop("shard"), 5).collect()
