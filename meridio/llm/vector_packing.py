@@ -30,7 +30,10 @@ PIECES = "doc_id long, piece int, start long, length int, ids binary"
 
 
 class Tokenizer:
-    """The vocabulary of a byte-level BPE tokenizer file, run by the faster of the two public libraries."""
+    """The vocabulary of a byte-level BPE tokenizer file, run by the faster of the two public libraries.
+
+    That one gives up on runs of about a million white-space characters; the file's own library takes such texts.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -45,9 +48,20 @@ class Tokenizer:
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
         self.allowed = set(self.special)
+        self.path, self.own = path, None
 
     def __call__(self, text: str) -> list[int]:
-        return self.encoding.encode(text, allowed_special=self.allowed, disallowed_special=())
+        try:
+            return self.encoding.encode(text, allowed_special=self.allowed, disallowed_special=())
+        except ValueError:
+            return self.by_own_library(text)
+
+    def by_own_library(self, text: str) -> list[int]:
+        if self.own is None:
+            from tokenizers import Tokenizer as Own
+
+            self.own = Own.from_file(self.path)
+        return self.own.encode(text, add_special_tokens=False).ids
 
 
 def byte_table() -> dict[str, int]:

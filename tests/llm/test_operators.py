@@ -225,6 +225,25 @@ def test_packing(spark):
     assert len(bins) <= least + 2
 
 
+def test_packed_ids_are_those_of_the_files_own_library(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    odd = [" " * 1_000_001, "a" + "\t\n " * 400_000 + "b", "\u3000" * 1_000_001, "a" * 1_200_000, "x<|endoftext|> y  ", "I'm  here\n\n 12 !? é漢字\U0001f600", "A\u0301 \x00"]
+    texts = {r.doc_id: r.text for r in docs_of(spark).collect() if r.doc_id is not None} | {1000 + i: x for i, x in enumerate(odd)}
+    sample = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(300).collect()
+    texts |= {2000 + i: r.text for i, r in enumerate(sample)}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(8)
+    got = {}
+    for r in vector_packing.pack_documents(docs, path).collect():
+        assert zlib.crc32(bytes(r.ids)) == r.ids_crc32
+        got.setdefault(r.doc_id, {})[r.start] = np.frombuffer(r.ids, "<u4")
+    for i, text in texts.items():
+        want = [*t.encode(text or "", add_special_tokens=False).ids, vector_packing.END]
+        assert np.array_equal(np.concatenate([got[i][s] for s in sorted(got[i])]), want), i
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_plan_keeps_every_capacity(rule):
     counts = {700: 5, 300: 40, 120: 300, 7: 1000}
