@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from meridio.operators.rollups import event_rollup, session_rollup
 
 NAME = r"^[a-zA-Z0-9_.-]+$"
+KEYS = ["project_id", "kind", "event_id"]
 
 
 def accepted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -27,17 +28,31 @@ def unique(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
     return stream.withWatermark("occur_time", late).dropDuplicatesWithinWatermark(["project_id", "kind", "event_id"])
 
 
+def delivered_first(rows: DataFrame, folder: str, number: int) -> DataFrame:
+    """rows of a batch without repeats of (project, kind, event_id), in it or in the events of earlier batches, however late."""
+    spark = rows.sparkSession
+    once = rows.where("event_id is not null").dropDuplicates(KEYS).unionByName(rows.where("event_id is null"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/events")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return once
+    schema = rows.select(*KEYS).schema.add("batch", "long")
+    seen = spark.read.schema(schema).parquet(f"{folder}/events").where(F.col("batch") < number).select(*KEYS).alias("seen")
+    return once.alias("now").join(seen, F.expr(" and ".join(f"now.{k} {'=' if k == 'event_id' else '<=>'} seen.{k}" for k in KEYS)), "left_anti")
+
+
 def maintain(stream: DataFrame, folder: str, checkpoint: str, dims: tuple[str, ...]) -> StreamingQuery:
-    """Write events, rejected rows and partial rollups of each batch under folder, by batch number."""
+    """Write events, rejected rows and partial rollups of each batch under folder, by batch number; redelivered events are dropped."""
 
     def batch(rows: DataFrame, number: int) -> None:
         rows.persist()
         good, bad = accepted(rows)
+        good = delivered_first(good, folder, number).persist()
         month = (F.year("occur_time") * 100 + F.month("occur_time")).cast("int")
         good.withColumn("occur_month", month).write.mode("overwrite").partitionBy("occur_month").parquet(f"{folder}/events/batch={number}")
         bad.write.mode("overwrite").parquet(f"{folder}/rejected/batch={number}")
         event_rollup(good, dims).write.mode("overwrite").parquet(f"{folder}/event_rollup/batch={number}")
         session_rollup(good, dims).write.mode("overwrite").parquet(f"{folder}/session_rollup/batch={number}")
+        good.unpersist()
         rows.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
