@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,18 +19,29 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset and all runs in one process, a folder of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("meridio.shared.dir", None)
     if not base:
-        base = spark.conf.get("meridio.shared.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="meridio-shared-")
-            spark.conf.set("meridio.shared.dir", base)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir is unset: executors of {master} share no other folder")
+        base = "file://" + tempfile.mkdtemp(prefix="meridio-shared-")
+        spark.conf.set("meridio.shared.dir", base)
     return base.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/meridio-{uuid.uuid4().hex}/{name}"
+    """A place of its own in the shared folder, emptied at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/meridio-{uuid.uuid4().hex}"
+    fs, p = file_system(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{path}/{name}"
 
 
 def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
@@ -41,8 +53,16 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+    fs, p = file_system(spark, path)
+    fs.delete(p.getParent(), True)
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """The name, with as many underscores at its end as it takes not to be among the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def train_rows(column: str, modulus: int, left_out: int):
