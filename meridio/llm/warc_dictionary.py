@@ -11,7 +11,8 @@ twice, leaves one whole file.
 Defined results: a null html is an empty payload; payloads under LEAST bytes are all responses;
 rows of a null page_id are responses with an empty id, read back as null; rows equal in page_id
 and payload are both written, as responses if theirs is the smallest id; an empty table gives no
-rows. Texts are written whole.
+rows; other columns of the pages are not archived. Texts are written whole. Ids go through Python as
+text, so that no long becomes a float beside a null.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridio.llm.common import new_path, small_batches
+from meridio.llm.common import file_system, new_path, small_batches
 
 LEAST = 100
 #: The sample for the dictionary: so many records at most, of so many bytes each at most.
@@ -132,15 +133,25 @@ def revisits(pages: DataFrame) -> DataFrame:
     return rows.join(shared, "__digest", "left")
 
 
+def dictionary_sample(pages: DataFrame) -> list[bytes]:
+    """The html of SAMPLE pages, the first by a hash of page_id. Ids are chosen first, so partitions send no html but theirs."""
+    size = F.octet_length("html")
+    fit = pages.where((size > 0) & (size <= SAMPLE_BYTES) & F.col("page_id").isNotNull())
+    order = F.xxhash64(F.lit("dictionary"), "page_id")
+    chosen = fit.select("page_id", order.alias("__order")).distinct().orderBy("__order", "page_id").limit(SAMPLE).select("page_id").collect()
+    ids = pages.sparkSession.createDataFrame(chosen, pages.select("page_id").schema)  # SAMPLE rows at most
+    found = fit.select("page_id", "html").join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min("html").alias("html"))
+    return [r.html.encode("utf-8", "replace") for r in sorted(found.collect(), key=lambda r: r.page_id)]
+
+
 def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
     """Write every page into archives under folder. Returns it and the list of files (file, records, bytes)."""
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or new_path(spark, "warc")
-    size = F.octet_length("html")
-    sample = pages.select("html", "page_id").where((size > 0) & (size <= SAMPLE_BYTES)).orderBy(F.xxhash64(F.lit("dictionary"), "page_id"), "page_id").limit(SAMPLE)
-    dictionary = build_dictionary([r.html.encode("utf-8", "replace") for r in sample.select("html").collect()])
-    spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
+    dictionary = build_dictionary(dictionary_sample(pages))
+    fs, at = file_system(spark, folder)
+    fs.mkdirs(at)
 
     def write(batches):
         import pandas as pd
@@ -156,8 +167,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
             size += out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary) or 0
             for batch in batches:
                 for page, url, payload, digest, first in zip(batch["page_id"], batch["url"], batch["__payload"], batch["__digest"], batch["__first"], strict=True):
-                    page = None if pd.isna(page) else int(page)
-                    refers = None if pd.isna(first) or page is None or int(first) == page else int(first)
+                    refers = None if first is None or page is None or first == page else first
                     frame = writer.compress(record(page, url, bytes(payload), digest, refers))
                     out.write(frame)
                     n, size = n + 1, size + len(frame)
@@ -168,7 +178,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> tuple[str, Da
             store.delete_file(draft)
 
     listed = f"{folder}-files"
-    revisits(pages).mapInPandas(write, "file string, records long, bytes long").write.parquet(listed)
+    rows = revisits(pages).withColumns({c: F.col(c).cast("string") for c in ("page_id", "__first")})
+    rows.mapInPandas(write, "file string, records long, bytes long").write.parquet(listed)
     return folder, spark.read.schema("file string, records long, bytes long").parquet(listed)
 
 
@@ -197,8 +208,8 @@ def read_archives(folder: str, files: DataFrame, payloads: bool = True) -> DataF
     def frame_of(rows):
         import pandas as pd
 
-        out = pd.DataFrame(rows)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64"})
+        ids = {c: pd.array([r[c] for r in rows], dtype="Int64") for c in ("page_id", "refers_to")}
+        return pd.DataFrame([{c: x for c, x in r.items() if c not in ids} for r in rows]).assign(**ids)
 
     n = max(1, files.count())
     return files.select("file").repartition(n).mapInPandas(read, fields)
