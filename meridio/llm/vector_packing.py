@@ -6,10 +6,12 @@ the counts of lengths, of which there are as many as a sequence has tokens whate
 lengths are taken from the longest down, and all equal bins that best fit one, by weighted
 dot-product or by the norm of what stays free, are filled at a time. The plan, a list of ranges,
 then places each piece by its number among those of its length; the numbers come from exact counts
-of salted groups, so a length that a third of all pieces have is dealt to many tasks.
+of groups of about GROUP pieces, so a length that a third of all pieces have is dealt to as many tasks
+as it needs.
 
 Defined results: a null text is an empty one, whose document is the end token alone; rows of equal
-doc_id are packed apart; texts are read whole; an empty table gives no rows.
+doc_id or of none are packed apart; texts are read whole; an empty table gives no rows; other columns
+are left out. Ids go through Python as text, so that no long becomes a float beside a null.
 """
 
 from __future__ import annotations
@@ -23,16 +25,19 @@ from pyspark.sql import functions as F
 from meridio.llm.common import small_batches, write_table
 
 CAPACITY, END = 1024, 2
-#: Groups that the pieces of one length are dealt to.
-SALTS = 64
+#: Pieces of one length that a task numbers, about.
+GROUP = 100_000
 
-PIECES = "doc_id long, piece int, start long, length int, ids binary"
+PIECES = "doc_id string, piece int, start long, length int, ids binary, nth long"
+#: What the faster library's pattern stands for; another pre-tokenizer is left to the file's own library.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False}
 
 
 class Tokenizer:
     """The vocabulary of a byte-level BPE tokenizer file, run by the faster of the two public libraries.
 
-    That one gives up on runs of about a million white-space characters; the file's own library takes such texts.
+    That one gives up on runs of about a million white-space characters; the file's own library takes such texts, and all
+    texts if the file asks for anything but byte-level splitting.
     """
 
     def __init__(self, path: str):
@@ -49,8 +54,12 @@ class Tokenizer:
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
         self.allowed = set(self.special)
         self.path, self.own = path, None
+        split = file.get("pre_tokenizer") or {}
+        self.plain = file.get("normalizer") is None and all(split.get(k) == v for k, v in BYTE_LEVEL.items()) and split.get("use_regex", True)
 
     def __call__(self, text: str) -> list[int]:
+        if not self.plain:
+            return self.by_own_library(text)
         try:
             return self.encoding.encode(text, allowed_special=self.allowed, disallowed_special=())
         except ValueError:
@@ -84,7 +93,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit)."""
+    """A row for each piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), nth (of its text in its task)."""
     small_batches(docs.sparkSession, 128)
 
     def run(batches):
@@ -92,15 +101,17 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
 
         if path not in _tokenizers:
             _tokenizers[path] = Tokenizer(path)
-        encode = _tokenizers[path]
+        encode, nth = _tokenizers[path], 0
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                nth += 1
                 ids = np.array([*encode(text or ""), end], "<u4")
-                rows += [(doc, i, s, n, ids[s : s + n].tobytes()) for i, (s, n) in enumerate(cuts(len(ids), capacity))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"]).astype({"doc_id": "Int64"})
+                rows += [(doc, i, s, n, ids[s : s + n].tobytes(), nth) for i, (s, n) in enumerate(cuts(len(ids), capacity))]
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids", "nth"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, PIECES)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], capacity=(CAPACITY, CAPACITY, CAPACITY * CAPACITY), rule: str = "norm", weights=(1.0, 0.01, 0.01)):
@@ -152,10 +163,13 @@ def plan(counts: dict[int, int], capacity=(CAPACITY, CAPACITY, CAPACITY * CAPACI
 
 
 def pack(pieces: DataFrame, length: str = "length", capacity=(CAPACITY, CAPACITY, CAPACITY * CAPACITY), rule: str = "norm", weights=(1.0, 0.01, 0.01)) -> DataFrame:
-    """pieces with sequence_id and offset. pieces is read several times: give a written table."""
+    """pieces without nth, with sequence_id and offset. pieces is read several times: give a written table."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    # as many rows at most as lengths times salts
+    sizes = pieces.groupBy(length).agg(F.count("*").alias("n")).collect()  # as many rows at most as lengths
+    groups_of = spark.createDataFrame([(r[0], 1 + r.n // GROUP) for r in sizes], f"{length} int, __groups long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "nth"), F.col("__groups"))
+    salted = pieces.join(F.broadcast(groups_of), length).withColumn("__salt", salt).drop("__groups")
+    # a row for each GROUP pieces and each length
     groups = {(r[0], r[1]): r.n for r in salted.groupBy(length, "__salt").agg(F.count("*").alias("n")).collect()}
     counts: dict[int, int] = {}
     before: dict[tuple[int, int], int] = {}
@@ -183,15 +197,15 @@ def pack(pieces: DataFrame, length: str = "length", capacity=(CAPACITY, CAPACITY
             seq[at], off[at] = r[i, 2] + k[at] - r[i, 0], r[i, 3]
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    number = Window.partitionBy(length, "__salt").orderBy("doc_id", "piece")
+    number = Window.partitionBy(length, "__salt").orderBy("doc_id", "piece", "nth")
     placed = salted.withColumn("__nth", F.row_number().over(number)).withColumn("__place", place(F.col(length), "__salt", "__nth"))
-    return placed.withColumn("sequence_id", F.col("__place.sequence_id")).withColumn("offset", F.col("__place.offset")).drop("__salt", "__nth", "__place")
+    return placed.withColumn("sequence_id", F.col("__place.sequence_id")).withColumn("offset", F.col("__place.offset")).drop("__salt", "__nth", "__place", "nth")
 
 
 def pack_documents(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if kept, the ids themselves."""
     crc = F.crc32("ids").alias("ids_crc32")
     small_batches(docs.sparkSession, 128)
-    cols = ["doc_id", "piece", "start", F.col("length").cast("long").alias("length"), crc, *(["ids"] if keep_ids else [])]
+    cols = ["doc_id", "piece", "start", "length", crc, "nth", *(["ids"] if keep_ids else [])]
     pieces, _ = write_table(tokenised(docs, path).select(*cols), "pieces")
-    return pack(pieces)
+    return pack(pieces).withColumn("length", F.col("length").cast("long"))
