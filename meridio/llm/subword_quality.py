@@ -5,8 +5,9 @@ bounded sample of labelled rows. Because the document vector is an average, its
 the output weights is an average of one number per hashed feature; scoring looks that number up.
 
 Defined results: a null or empty text scores the learned prior; texts of any length are read
-whole; repeated rows score alike; an empty table gives no rows; with no labels of one class
-every score is the share of label 1 (0.5 without labels). Extra columns are kept or ignored.
+whole, in pieces that carry on what their cuts part; repeated rows score alike; an empty table gives
+no rows; with no labels of one class every score is the share of label 1 (0.5 without labels). All
+columns of the input come back as they are: where one is named score, the result's column is score_.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridio.llm.common import small_batches, train_rows
+from meridio.llm.common import free_name, small_batches, train_rows
 
 BITS = 16
 SIZE = 1 << BITS
@@ -23,9 +24,9 @@ GRAMS = (3, 4)
 DIM = 8
 #: Rows of each class that training may use: the bound of what the driver gathers.
 SAMPLE_PER_CLASS = 1200
-#: Updates that training makes at least, so that a small sample is read more often.
-UPDATES = 12_000
-#: A text is cut at white space into pieces of about this size, whose sums are added.
+#: Updates that training makes, whatever the sample's size.
+UPDATES = 19_200
+#: Bytes of a text that are read at a time.
 PIECE = 1 << 20
 _POW = np.cumprod(np.full(256, 16777619, np.uint32), dtype=np.uint32)
 #: Weight of the feature kinds: characters, words, pairs of words, repetition patterns.
@@ -39,49 +40,68 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return (h >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def feature_ids(text: bytes) -> list[np.ndarray]:
-    """Hashed features of a piece of text, one array for each kind."""
-    b = np.frombuffer(b" " + text + b" ", np.uint8)
-    space = (b == 32) | ((b >= 9) & (b <= 13))
-    v = np.where(space, 32, b).astype(np.uint32)
-    many = np.cumsum(space)
-    chars = []
-    for n in GRAMS:
-        if len(v) < n:
-            continue
-        h = np.zeros(len(v) - n + 1, np.uint32)
-        for j in range(n):
-            h = h * np.uint32(16777619) + v[j : len(v) - n + 1 + j]
-        inside = many[n - 2 : len(v) - 1] == many[: len(v) - n + 1]  # no space but at the ends
-        chars.append(_mix(h[inside], n))
-    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    if not len(starts):
-        return [np.concatenate(chars) if chars else np.zeros(0, np.int64), *[np.zeros(0, np.int64)] * 3]
-    place = np.arange(len(v)) - np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(v)]))
-    words = np.add.reduceat(np.where(space, np.uint32(0), v * _POW[place & 255]), starts, dtype=np.uint32)
-    pairs = words[:-1] * np.uint32(40503) + words[1:]
-    same = np.zeros(len(words), np.uint32)  # which of the last three words a word repeats
-    for k in (3, 2, 1):
-        same[k:][words[k:] == words[:-k]] = k
-    return [np.concatenate(chars), _mix(words, 101), _mix(pairs, 102), _mix(same, 103)]
-
-
-def pieces(text: str | None):
-    data = (text or "").encode("utf-8", "replace")
-    at = 0
-    while len(data) - at > PIECE:
-        cut = max(data.rfind(b" ", at, at + PIECE), data.rfind(b"\n", at, at + PIECE))
-        cut = cut if cut > at else at + PIECE
-        yield data[at:cut]
-        at = cut
-    yield data[at:]
+class Reader:
+    """Hashed features of a text, piece by piece: what a cut parts (n-grams, a word, neighbouring words) is carried on."""
+
+    def __init__(self):
+        self.tail = np.array([32], np.uint8)  # the last bytes, as many as the longest n-gram needs
+        self.word, self.place = np.uint32(0), 0  # hash and length so far of the word that the piece ended in
+        self.last = np.zeros(0, np.uint32)  # the last three words
+
+    def read(self, piece: bytes) -> list[np.ndarray]:
+        """Features that end in this piece, one array for each kind. The text ends with a space."""
+        new = np.frombuffer(piece, np.uint8)
+        b = np.concatenate([self.tail, new])
+        space = (b == 32) | ((b >= 9) & (b <= 13))
+        v = np.where(space, 32, b).astype(np.uint32)
+        many = np.cumsum(space)
+        chars = []
+        for n in GRAMS:
+            first = max(0, len(self.tail) - n + 1)  # n-grams before it ended in the piece before
+            if len(v) - first < n:
+                continue
+            h = np.zeros(len(v) - n + 1 - first, np.uint32)
+            for j in range(n):
+                h = h * np.uint32(16777619) + v[first + j : len(v) - n + 1 + j]
+            inside = many[first + n - 2 : len(v) - 1] == many[first : len(v) - n + 1]  # no space but at the ends
+            chars.append(_mix(h[inside], n))
+        words = self.words(v[len(self.tail) :], space[len(self.tail) :])
+        self.tail = b[-(max(GRAMS) - 1) :]
+        near = np.concatenate([self.last, words])
+        old = len(self.last)
+        pairs = near[max(0, old - 1) : -1] * np.uint32(40503) + near[max(0, old - 1) + 1 :]
+        same = np.zeros(len(near), np.uint32)  # which of the last three words a word repeats
+        for k in (3, 2, 1):
+            same[k:][near[k:] == near[:-k]] = k
+        self.last = near[-3:]
+        return [np.concatenate(chars) if chars else np.zeros(0, np.int64), _mix(words, 101), _mix(pairs, 102), _mix(same[old:], 103)]
+
+    def words(self, v: np.ndarray, space: np.ndarray) -> np.ndarray:
+        """Hashes of the words that end here."""
+        ends = np.flatnonzero(space)
+        starts = np.r_[0, ends + 1]  # of the stretches between spaces; the last goes on in the next piece
+        place = np.arange(len(v)) - np.repeat(starts, np.diff(np.r_[starts, len(v)]))[: len(v)]
+        place[: ends[0] if len(ends) else len(v)] += self.place
+        sums = np.concatenate([[np.uint32(0)], np.cumsum(np.where(space, np.uint32(0), v * _POW[place & 255]), dtype=np.uint32)])
+        each, sizes = sums[np.r_[ends, len(v)]] - sums[starts], np.r_[ends, len(v)] - starts
+        each[:1] += self.word
+        sizes[0] += self.place
+        self.word, self.place = each[-1], int(sizes[-1])
+        return each[:-1][sizes[:-1] > 0]
+
+
+def features(text: str | None):
+    """Features of a whole text, a piece at a time."""
+    data, reader = (text or "").encode("utf-8", "replace") + b" ", Reader()
+    for at in range(0, len(data), PIECE):
+        yield reader.read(data[at : at + PIECE])
 
 
 def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature ids of a whole text and their weights in its average."""
     sums, n = np.zeros((len(KINDS), SIZE), np.float32), np.zeros(len(KINDS))
-    for piece in pieces(text):
-        for k, ids in enumerate(feature_ids(piece)):
+    for piece in features(text):
+        for k, ids in enumerate(piece):
             sums[k] += np.bincount(ids, minlength=SIZE)
             n[k] += len(ids)
     weight = (sums * (np.array(KINDS) / np.maximum(n, 1))[:, None]).sum(0)
@@ -89,7 +109,7 @@ def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), weight[ids].astype(np.float32)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, epochs: int = 8, rate: float = 0.2, seed: int = 7):
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, updates: int = UPDATES, rate: float = 0.2, seed: int = 7):
     """Numpy SGD. rows: ids, weights, label. Returns the number of each feature, and the bias."""
     y = np.array([r[2] for r in rows])
     logit = float(np.log(prior / (1 - prior))) if 0 < prior < 1 else 0.0
@@ -98,23 +118,20 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, epochs: in
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (SIZE, DIM))
     out, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-    epochs = max(epochs, -(-UPDATES // len(rows)))
-    steps, done = epochs * len(rows), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            ids, weight, label = rows[i]
-            lr = rate * (1 - done / steps)
-            done += 1
-            hidden = weight @ vectors[ids]
-            z = hidden @ out + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[label] -= 1
-            back = out @ p
-            out -= lr * np.outer(hidden, p)
-            bias -= lr * 0.1 * p
-            # a step as long for a text of many features as for one of few, shared by their weights
-            vectors[ids] -= (lr * 0.5 * weight / (weight @ weight + 1e-3))[:, None] * back
+    order = np.concatenate([rng.permutation(len(rows)) for _ in range(-(-updates // len(rows)))])[:updates]
+    for done, i in enumerate(order):
+        ids, weight, label = rows[i]
+        lr = rate * (1 - done / updates)
+        hidden = weight @ vectors[ids]
+        z = hidden @ out + bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[label] -= 1
+        back = out @ p
+        out -= lr * np.outer(hidden, p)
+        bias -= lr * 0.1 * p
+        # a step as long for a text of many features as for one of few, shared by their weights
+        vectors[ids] -= (lr * 0.5 * weight / (weight @ weight + 1e-3))[:, None] * back
     share = y.mean()
     table = vectors @ (out[:, 1] - out[:, 0])
     return table, float(bias[1] - bias[0] + logit - np.log(share / (1 - share)))
@@ -122,8 +139,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], prior: float, epochs: in
 
 def score(text: str | None, table: np.ndarray, bias: float) -> float:
     sums, n = np.zeros(len(KINDS)), np.zeros(len(KINDS))
-    for piece in pieces(text):
-        for k, ids in enumerate(feature_ids(piece)):
+    for piece in features(text):
+        for k, ids in enumerate(piece):
             sums[k] += table[ids].sum()
             n[k] += len(ids)
     z = float((np.array(KINDS) * sums / np.maximum(n, 1)).sum() + bias)
@@ -171,4 +188,4 @@ def score_documents(docs: DataFrame, model) -> DataFrame:
         table, bias = held.value
         return texts.map(lambda t: score(t, table, bias)).astype("float64")
 
-    return docs.withColumn("score", scored(F.col("text")))
+    return docs.withColumn(free_name(docs.columns, "score"), scored(F.col("text")))
