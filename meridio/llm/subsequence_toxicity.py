@@ -9,19 +9,22 @@ A text's score is that of its highest span.
 
 Defined results: a null or empty text scores as one span of no kernel value at all (near 0); texts
 are read whole; repeated rows score alike; empty tables give no rows; without labels of both classes
-every score is 0. Spans over WIDTH characters are cut into overlapping windows, none is left out.
+every score is 0. Spans over WIDTH characters are cut into overlapping windows, none is left out; of a
+run of single characters, every stretch that may be a word is a span too. All columns of the input come
+back as they are: where one is named score, the result's column is score_.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridio.llm.common import small_batches, train_rows
+from meridio.llm.common import free_name, small_batches, train_rows
 
 WIDTH = 14
 DECAY = 0.85
@@ -30,10 +33,16 @@ SHARP, FLOOR = 4.0, 0.35
 TURNS = 3
 #: Log odds from which a span is taken as a witness: in four toxic texts and no clean one, or as good.
 SURE = float(np.log(8))
-#: Labelled documents of each class that training may read, spans it may keep, and landmarks.
-SAMPLE_PER_CLASS, MAX_SPANS, LANDMARKS = 1200, 60_000, 96
+#: Of the cost, the share of clean spans that resemble a landmark; toxic ones have half, the other clean ones the rest.
+NEAR_SHARE = 0.45
+#: Labelled documents of each class that training may read, and landmarks.
+SAMPLE_PER_CLASS, LANDMARKS = 1200, 96
+#: Lengths of the words that are looked for in a run of single characters; RUN_MARK begins such a run.
+SPELLED, RUN_MARK = range(3, 11), "\x01"
 #: A worker's memory of span scores is emptied beyond this many entries.
 MEMO = 1_000_000
+#: Characters of a run that are scored at a time; windows of WIDTH fall on the same places.
+RUN_PIECE = WIDTH // 2 * 1024
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 RUN = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _INNER = re.compile(r"[\W_]+")
@@ -43,6 +52,9 @@ _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 def windows(token: str) -> list[str]:
     """A token without outer punctuation, between marks of its ends; long ones as overlapping windows; with inner
     punctuation, also without it."""
+    if token.startswith(RUN_MARK):
+        run = token[1:]
+        return [*cut(run), *{f"^{run[i : i + n]}$" for n in SPELLED for i in range(len(run) - n + 1)}]
     bare = _OUTER.sub("", token)
     inner = _INNER.sub("", bare)
     if inner != bare:
@@ -64,7 +76,7 @@ def tokens(text: str | None) -> set[str]:
     words = low.split()
     found = {w.strip(PUNCTUATION) for w in set(words)}
     if sum(len(w) == 1 for w in words) > 2:  # a run has three such words
-        found.update(re.sub(r"\s", "", r) for r in RUN.findall(low))
+        found.update(RUN_MARK + re.sub(r"\s", "", r) for r in RUN.findall(low))
     return found
 
 
@@ -180,7 +192,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 400)
     return w[:-1], float(w[-1])
 
 
-def fit(bags: list[tuple[set[str], int]], seed: int = 5) -> Machine:
+def fit(bags: list[tuple[set[str], int]]) -> Machine:
     """bags: the windows of a labelled text, and its label."""
     good, bad = [b for b, y in bags if y == 0], [b for b, y in bags if y == 1 and b]
     if not good or not bad:
@@ -195,10 +207,7 @@ def fit(bags: list[tuple[set[str], int]], seed: int = 5) -> Machine:
             seen[s] = seen.get(s, 0) + 1
     odds = {s: np.log((n + 0.5) / (clean.get(s, 0) + 0.5)) for s, n in seen.items()}
     witness = [max(sorted(b), key=lambda s: odds[s]) for b in bad]
-    rng = np.random.default_rng(seed)
-    negatives = sorted(clean, key=lambda s: (-clean[s], s))[: MAX_SPANS // 8]
-    rest = sorted(set(clean) - set(negatives))
-    negatives += [rest[i] for i in rng.permutation(len(rest))[: MAX_SPANS - len(negatives)]]
+    negatives = sorted(clean)
     machine, margin = Machine([], np.zeros(0), 0.0, 1.0, 0.0), {}
     for _ in range(TURNS):
         count: dict[str, int] = {}
@@ -212,19 +221,21 @@ def fit(bags: list[tuple[set[str], int]], seed: int = 5) -> Machine:
         machine.prepare()
         pos = sorted(count)
         near = machine.features(negatives).max(1)
-        hard = np.argsort(-near, kind="stable")[:4000]
-        machine.landmarks += [negatives[i] for i in hard[: LANDMARKS - len(machine.landmarks)]]
+        machine.landmarks += [negatives[i] for i in np.argsort(-near, kind="stable")[: LANDMARKS - len(machine.landmarks)]]
         machine.prepare()
-        used = [negatives[i] for i in hard]
-        x = np.vstack([machine.features(pos), machine.features(used)])
+        # spans with no kernel value at all are equal rows: they count as one
+        of = machine.features(negatives)
+        some = np.flatnonzero(of.any(1))
+        x = np.vstack([machine.features(pos), of[some], np.zeros((1, of.shape[1]), np.float32)])
         # Nyström: the landmarks' kernel, whitened
         gram = machine.features(machine.landmarks)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         whiten = vectors / np.sqrt(np.maximum(values, 1e-3))
-        y = np.r_[np.ones(len(pos)), -np.ones(len(used))]
-        cost = np.r_[[min(count[s], 5) for s in pos], [min(clean[s], 5) for s in used]].astype(float)
+        y = np.r_[np.ones(len(pos)), -np.ones(len(some) + 1)]
+        cost = np.r_[[min(count[s], 5) for s in pos], [min(clean[negatives[i]], 5) for i in some], 0].astype(float)
         cost[: len(pos)] *= 0.5 / cost[: len(pos)].sum()
-        cost[len(pos) :] *= 0.5 / cost[len(pos) :].sum()
+        cost[len(pos) :] *= NEAR_SHARE / max(cost[len(pos) :].sum(), 1e-9)
+        cost[-1] = 0.5 - NEAR_SHARE
         w, machine.bias = linear_svm(x @ whiten, y, cost)
         machine.weight = whiten @ w
         # a witness of better margin replaces one whose odds said little
@@ -258,20 +269,41 @@ class Scorer:
         self.empty = machine.bias if len(machine.weight) else -10.0
 
     def __call__(self, texts: list[str | None]) -> list[float]:
+        found = self.read(texts)
+        return [self.machine.probability(max(map(self.memo.__getitem__, f), default=-10.0)) for f in found]
+
+    def memo_of(self, text: str | None) -> list[float]:
+        """The margins of a text's tokens."""
+        return [self.memo[t] for f in self.read([text]) for t in f]
+
+    def read(self, texts: list[str | None]) -> list[set[str]]:
+        """The tokens of each text, their highest margins now in the memory."""
         found = [tokens(t) for t in texts]
         new = sorted(set().union(*found) - self.memo.keys()) if found else []
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = sorted(set().union(*found))
-        spans = [windows(t) for t in new]
+        spans = [windows(t) for t in new if not t.startswith(RUN_MARK)]
         flat = sorted({s for x in spans for s in x})
         margin = dict(zip(flat, self.machine.margins(flat), strict=True))
-        for t, x in zip(new, spans, strict=True):
+        for t, x in zip((t for t in new if not t.startswith(RUN_MARK)), spans, strict=True):
             self.memo[t] = max((margin[s] for s in x), default=-10.0)
-        return [self.machine.probability(max(map(self.memo.__getitem__, f), default=-10.0)) for f in found]
+        for t in new:
+            if t.startswith(RUN_MARK):
+                self.memo[t] = self.of_run(t)
+        return found
+
+    def of_run(self, token: str) -> float:
+        """The highest margin of a run, a piece at a time: its stretches are many times its length."""
+        run, best, widest = token[1:], -10.0, max(max(SPELLED), WIDTH)
+        for at in range(0, len(run), RUN_PIECE):
+            # stretches that a cut parts are in the overlap
+            part = sorted(set(windows(RUN_MARK + run[at : at + RUN_PIECE + widest])))
+            best = max([best, *self.machine.margins(part)])
+        return best
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Machine:
@@ -302,7 +334,7 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast((machine.landmarks, machine.weight, machine.bias, machine.scale, machine.shift))
-    key = held.id if hasattr(held, "id") else id(held)
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def scored(texts):
@@ -313,4 +345,4 @@ def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:
             _scorers[key] = Scorer(Machine(*held.value))
         return pd.Series(_scorers[key](texts.tolist()), dtype="float64")
 
-    return docs.withColumn("score", scored(F.col("text")))
+    return docs.withColumn(free_name(docs.columns, "score"), scored(F.col("text")))

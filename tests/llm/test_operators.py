@@ -1,5 +1,6 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -105,17 +106,34 @@ def test_pca_dedup_against_all_pairs(spark):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (n[i], want[i], want[i] == i) for i in rows}
 
 
-@pytest.mark.parametrize("bucket", [4096, 32])
-def test_topk_against_all_products(spark, bucket):
-    df = vectors_of(spark)
-    ok = {r.vec_id: np.floor(64 * np.array(r.embedding)) for r in df.collect() if good(r.embedding)}
-    pad = lambda x: np.pad(x, (0, 3 - len(x)))
+def plain_topk(rows):
+    """By integers of any size."""
+    ok = {i: [math.floor(64 * x) for x in v] for i, v in rows.items() if good(v)}
     want = {}
     for q in (i for i in ok if i % 20 == 0):
-        best = sorted(((-int(pad(ok[q]) @ pad(v)), i) for i, v in ok.items() if i != q))[:20]
+        best = sorted((-sum(a * b for a, b in zip(ok[q], v, strict=False)), i) for i, v in ok.items() if i != q)[:20]
         want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(best)}
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in bucket_topk.top_k(df, bucket=bucket).collect()}
-    assert got == want
+    return want
+
+
+@pytest.mark.parametrize("bucket,block", [(4096, 4096), (32, 3)])
+def test_topk_against_all_products(spark, bucket, block):
+    df = vectors_of(spark)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in bucket_topk.top_k(df, bucket=bucket, block=block).collect()}
+    assert got == plain_topk({r.vec_id: r.embedding for r in df.collect()})
+
+
+@pytest.mark.parametrize("size", [2.0**23, 2.0**24.4, 2.0**26])
+def test_topk_of_scores_beyond_doubles(spark, size):
+    """Scores near 2^60 and over, of vectors near to each other, and ids over 2^53."""
+    rng = np.random.default_rng(8)
+    rows = {(2**53 // 20 + i) * 20 + i % 5: (size + rng.normal(size=4) * 3).tolist() for i in range(200)}
+    df = spark.createDataFrame([*rows.items(), (None, [1.0] * 4)], "vec_id long, embedding array<double>")
+    if size == 2.0**26:  # 64-bit scores would wrap
+        with pytest.raises(Exception, match="over 64 bits"):
+            bucket_topk.top_k(df, bucket=64).collect()
+    else:
+        assert {(r.query_id, r.rank): (r.vec_id, r.score) for r in bucket_topk.top_k(df, bucket=64).collect()} == plain_topk(rows)
 
 
 def test_coordinate_pruning_is_exact():
@@ -151,7 +169,7 @@ def test_coordinate_pruning_keeps_a_dominant_axis(sign):
 
 def test_shards(spark):
     docs = docs_of(spark)
-    rows = histogram_shards.shard(docs.drop("shard"), 5).collect()
+    rows = histogram_shards.shard(docs, 5).collect()
     assert len(rows) == docs.count()
     by = {}
     for r in rows:
@@ -200,6 +218,34 @@ def test_warc_round_trip(spark):
         assert bytes(r.payload) == (data if first == i else b"")
 
 
+BIG = 2**53
+
+
+def test_warc_ids_beyond_doubles(spark):
+    html = "<p>" + "same " * 50
+    pages = [(BIG + 1, "u", html), (BIG + 3, "u", html), (None, "u", html), (None, "u", "short"), (BIG + 5, "u", "short"), (BIG + 7, None, None)]
+    got = warc_dictionary.archive_round_trip(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()
+    assert sorted(((r.page_id, r.record_type, r.refers_to) for r in got), key=repr) == sorted(
+        [(BIG + 1, "response", None), (BIG + 3, "revisit", BIG + 1), (None, "response", None), (None, "response", None), (BIG + 5, "response", None), (BIG + 7, "response", None)], key=repr
+    )
+    assert len(warc_dictionary.dictionary_sample(spark.createDataFrame([(i % 500, "x" * 50, None) for i in range(3000)], "page_id long, html string, url string"))) == 400
+
+
+def test_packing_of_many_groups_and_odd_ids(spark, monkeypatch):
+    monkeypatch.setattr(vector_packing, "GROUP", 7)
+    rows = [(BIG + 1 if i % 3 else None, "same text " * (i % 4)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = vector_packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in bins.values():
+        x.sort()
+        assert [o for o, _ in x] == [sum(n for _, n in x[:i]) for i in range(len(x))] and sum(n for _, n in x) <= 1024
+    assert len(bins) == -(-sum(r.length for r in got) // 1024)
+
+
 def test_packing(spark):
     docs = docs_of(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -303,8 +349,61 @@ def test_scores_of_odd_texts(spark):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(7, 40)], "doc_id long, quality int, toxic int")
     for module in (subword_quality, subsequence_toxicity):
         for table in (labels, labels.limit(0)):
-            scored = module.score_documents(docs.drop("score"), module.train(docs, table)).collect()
-            assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored)
+            scored = module.score_documents(docs, module.train(docs, table)).collect()  # docs has a column score of its own
+            assert len(scored) == docs.count() and all(r.score == (0.1 if r.doc_id is None else 0.5) and 0 <= r.score_ <= 1 for r in scored)
+
+
+def test_quality_reads_on_over_cuts(monkeypatch):
+    texts = [None, "", " ", "a", "ab  cd", "\nx y\tz z z", "a" * 300, LONG[:3000], "é漢 " * 50]
+    whole = [subword_quality.sparse(t) for t in texts]
+    for size in (1, 2, 5, 64):
+        monkeypatch.setattr(subword_quality, "PIECE", size)
+        for (ids, weight), t in zip(whole, texts, strict=True):
+            got = subword_quality.sparse(t)
+            assert np.array_equal(got[0], ids) and np.allclose(got[1], weight)
+
+
+def test_quality_scores_are_the_softmax_of_averaged_vectors():
+    """The number looked up for each feature against the model written out: average the vectors, then softmax."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["good", "fine", "text"] if i % 2 else ["junk", "spam", "x9"], 12)) for i in range(60)]
+    table, bias = subword_quality.fit([(*subword_quality.sparse(t), i % 2) for i, t in enumerate(texts)], 0.5, updates=600)
+    for t in texts[:10]:
+        ids, weight = subword_quality.sparse(t)
+        z = np.array([0.0, weight.astype(float) @ table[ids] + bias])
+        assert subword_quality.score(t, table, bias) == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), rel=1e-4)
+    assert all((subword_quality.score(t, table, bias) > 0.5) == i % 2 for i, t in enumerate(texts))
+
+
+def test_kernel_against_all_subsequences():
+    """Kernel values against a plain enumeration of subsequences of three characters."""
+
+    def plain(a, b):
+        def weights(s):
+            out = Counter()
+            for i in range(len(s)):
+                for j in range(i + 1, len(s)):
+                    for k in range(j + 1, len(s)):
+                        out[s[i] + s[j] + s[k]] += subsequence_toxicity.DECAY ** (k - i + 1)
+            return out
+
+        x, y = weights(a), weights(b)
+        near = sum(x[s] * y[s] for s in x) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+        return math.exp(subsequence_toxicity.SHARP * (near - 1)) if near >= subsequence_toxicity.FLOOR else 0.0
+
+    words = ["^idiot$", "^idxiot$", "^aaaa$", "^abcabc$", "^fool$", "^foolish$", "^xaby$"]
+    m = subsequence_toxicity.Machine(words, np.zeros(len(words)), 0.0, 1.0, 0.0).prepare()
+    got = m.features(words)
+    assert np.allclose(got, [[plain(a, b) for b in words] for a in words], atol=1e-5)
+
+
+def test_spelled_out_words_within_a_run(monkeypatch):
+    m = subsequence_toxicity.Machine(["^idiot$"], np.ones(1), 0.0, 1.0, 0.0)
+    of = lambda t: max(subsequence_toxicity.Scorer(m).memo_of(t))
+    for text in ("y o u i d i o t g o a w a y", "you are a n i d i o t n o w ok", "x " * 30_000 + "i d i o t " + "y " * 500):
+        assert of(text) == pytest.approx(1, abs=1e-5)
+    monkeypatch.setattr(subsequence_toxicity, "RUN_PIECE", 14)
+    assert of("a b " * 20 + "i d i o t " + "c d " * 9) == pytest.approx(1, abs=1e-5)
 
 
 def test_kernel_tolerates_gaps():
@@ -320,9 +419,9 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = [
-        subword_quality.score_documents(docs.drop("score"), subword_quality.train(docs, labels)),
-        subsequence_toxicity.score_documents(docs.drop("score"), subsequence_toxicity.train(docs, labels)),
-        simhash_dedup.near_duplicates(docs), histogram_shards.shard(docs.drop("shard")), pitman_yor.score_documents(docs), temperature_mix.mix(docs),
+        subword_quality.score_documents(docs, subword_quality.train(docs, labels)),
+        subsequence_toxicity.score_documents(docs, subsequence_toxicity.train(docs, labels)),
+        simhash_dedup.near_duplicates(docs), histogram_shards.shard(docs), pitman_yor.score_documents(docs), temperature_mix.mix(docs),
         vector_packing.pack_documents(docs, path), bucket_topk.top_k(vectors), pca_dedup.near_duplicates(vectors), warc_dictionary.archive_round_trip(pages),
     ]
     assert [f.count() for f in found] == [0] * len(found)
