@@ -8,8 +8,9 @@ source's blocks, and within blocks of its documents; the last epoch ends where t
 the middle of one block. Without a given budget, the least that reads every document once is used.
 
 Defined results: a null source is the source ''; a null or empty text has no words and counts as
-one token; rows of equal doc_id in a source have one place and are taken or left together; an empty
-table gives no rows; extra columns are kept.
+one token; rows equal in source, doc_id and text have one place and are taken or left together; an
+empty table gives no rows. All columns of the input come back as they are: where one has the name of
+a column of the result, that has an underscore at its end.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridio.llm.common import write_table
+from meridio.llm.common import drop_path, free_name, write_table
 
-#: Tokens of a block; the last epoch of a source cuts one block.
-BLOCK_TOKENS = 500_000
+#: Tokens of a block, more only where a source has over BLOCKS times as many; the last epoch of a source cuts one block.
+BLOCK_TOKENS, BLOCKS = 500_000, 1 << 17
 #: Rows of a plan that may be broadcast; larger plans are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 SEED = 11
@@ -77,52 +78,65 @@ def mix(
     """
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
-    counted = docs.withColumn("mix_tokens", F.greatest(words, F.lit(1)).cast("long")).withColumn("__source", F.coalesce("source", F.lit("")))
-    sizes = {r["__source"]: r.n for r in counted.groupBy("__source").agg(F.sum("mix_tokens").alias("n")).collect()}  # one row a source
+    counted = docs.select(
+        F.struct("*").alias("row"), F.coalesce("source", F.lit("")).alias("source"), F.greatest(words, F.lit(1)).cast("long").alias("tokens"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("key")
+    )
+    sizes = {r["source"]: r.n for r in counted.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}  # one row a source
     if not sizes:
         sizes = {"": 1}
     target = target_share * math.log(len(sizes)) if len(sizes) > 1 else None
     weights = weights_at(sizes, solve(sizes, target, max_repeats, budget))
     total = budget_for(sizes, weights) if budget is None else budget
-    source_rows = [(s, n, max(1, -(-n // block_tokens)), weights[s], weights[s] * total * (1 + 1e-12)) for s, n in sizes.items()]
-    by_source = spark.createDataFrame(source_rows, "__source string, __n long, __blocks long, mix_weight double, __budget double")
-    keyed = counted.join(F.broadcast(by_source.select("__source", "__blocks")), "__source").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("__blocks"))).drop("__blocks")
+    source_rows = [(s, n, min(BLOCKS, max(1, -(-n // block_tokens))), weights[s], weights[s] * total * (1 + 1e-12)) for s, n in sizes.items()]
+    by_source = spark.createDataFrame(source_rows, "source string, n long, blocks long, weight double, budget double")
+    in_block = lambda df: df.join(F.broadcast(by_source.select("source", "blocks")), "source").withColumn("block", F.pmod("key", "blocks")).drop("blocks")
+    keyed = in_block(counted)
 
     # blocks of each source and epoch in permuted order, with the tokens before them
-    blocks = keyed.groupBy("__source", "mix_block").agg(F.sum("mix_tokens").alias("__size"))
+    blocks = keyed.groupBy("source", "block").agg(F.sum("tokens").alias("size"))
     plan = (
-        blocks.join(F.broadcast(by_source), "__source")
-        .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.floor(F.col("__budget") / F.col("__n")).cast("int"))))
-        .withColumn("__left", F.least(F.col("__budget") - F.col("mix_epoch") * F.col("__n"), F.col("__n").cast("double")))
+        blocks.join(F.broadcast(by_source), "source")
+        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.floor(F.col("budget") / F.col("n")).cast("int"))))
+        .withColumn("left", F.least(F.col("budget") - F.col("epoch") * F.col("n"), F.col("n").cast("double")))
     )
-    order = Window.partitionBy("__source", "mix_epoch").orderBy(F.xxhash64(F.lit(seed), "mix_epoch", "__source", "mix_block"), "mix_block")
+    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "source", "block"), "block")
     plan = (
-        plan.withColumn("__before", F.sum("__size").over(order) - F.col("__size"))
-        .where(F.col("__before") < F.col("__left") - 1e-6)
-        .withColumn("__room", F.col("__left") - F.col("__before"))
-        .select("__source", "mix_block", "mix_epoch", "mix_weight", "__budget", "__n", "__before", "__size", "__room")
+        plan.withColumn("before", F.sum("size").over(order) - F.col("size"))
+        .where(F.col("before") < F.col("left") - 1e-6)
+        .withColumn("room", F.col("left") - F.col("before"))
+        .select("source", "block", "epoch", "weight", "budget", "n", "before", "size", "room")
     )
     # a row for each block and epoch, in proportion to the tokens; only a plan of few rows is broadcast
     few = sum(r[2] * (1 + r[4] / r[1]) for r in source_rows) <= BROADCAST_ROWS
-    plan, _ = write_table(plan, "plan")
-
-    # the place of documents in the blocks that the budget cuts
-    place = F.xxhash64(F.lit(seed), "mix_epoch", "doc_id")
-    cut = plan.where(F.col("__room") < F.col("__size") - 1e-6)
-    ends = Window.partitionBy("__source", "mix_block", "mix_epoch").orderBy("__place")
-    small = counted.select("__source", "doc_id", "mix_tokens").join(F.broadcast(by_source.select("__source", "__blocks")), "__source").withColumn("mix_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("__blocks")))
-    reached = (
-        small.join(cut.select("__source", "mix_block", "mix_epoch", "__room"), ["__source", "mix_block"])
-        .withColumn("__place", place)
-        .withColumn("__sum", F.sum("mix_tokens").over(ends))
-        .where(F.col("__sum") <= F.col("__room") + 1e-6)
-        .groupBy("__source", "mix_block", "mix_epoch")
-        .agg(F.max("__place").alias("__last"))
-    )
-    whole = plan.join(reached, ["__source", "mix_block", "mix_epoch"], "left").withColumn("__whole", F.col("__room") >= F.col("__size") - 1e-6)
-    whole, _ = write_table(whole, "plan")
-    out = keyed.join(F.broadcast(whole) if few else whole, ["__source", "mix_block"]).withColumn("__place", place).where("__whole or __place <= __last")
+    plan, plan_path = write_table(plan, "plan")
+    whole, _ = write_table(plan.join(reached(in_block(counted.drop("row")), plan, seed), ["source", "block", "epoch"], "left").withColumn("whole", F.col("room") >= F.col("size") - 1e-6), "plan")
+    drop_path(spark, plan_path)
+    out = keyed.join(F.broadcast(whole) if few else whole, ["source", "block"]).withColumn("place", place_of(seed)).where("whole or place <= last")
     # within a block the places are spread evenly over its tokens
-    share = (F.col("__place").cast("double") / 2.0**64 + 0.5) * F.least("__size", F.col("__room"))
-    at = (F.col("mix_epoch") * F.col("__n") + F.col("__before") + share) / F.col("__budget")
-    return out.withColumn("mix_at", F.least(at, F.lit(1.0))).drop("__source", "__place", "__last", "__whole", "__budget", "__n", "__before", "__size", "__room")
+    share = (F.col("place").cast("double") / 2.0**64 + 0.5) * F.least("size", F.col("room"))
+    at = (F.col("epoch") * F.col("n") + F.col("before") + share) / F.col("budget")
+    results = {"mix_tokens": F.col("tokens"), "mix_weight": F.col("weight"), "mix_epoch": F.col("epoch"), "mix_block": F.col("block"), "mix_at": F.least(at, F.lit(1.0))}
+    return out.select("row.*", *[c.alias(free_name(docs.columns, name)) for name, c in results.items()])
+
+
+def place_of(seed: int):
+    """The place of a document in its block, in an epoch."""
+    return F.xxhash64(F.lit(seed), "epoch", "key")
+
+
+def reached(docs: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+    """For the blocks that the budget cuts: source, block, epoch, last, the last place that it reaches.
+
+    Tokens are first summed over 256 stretches of places; only the documents of the stretch that the budget ends in are put in order.
+    """
+    keys = ["source", "block", "epoch"]
+    cut = plan.where(F.col("room") < F.col("size") - 1e-6).select(*keys, "room")
+    rows = docs.join(cut, ["source", "block"]).withColumn("place", place_of(seed)).withColumn("part", F.shiftright("place", 56))
+    parts = rows.groupBy(*keys, "part", "room").agg(F.sum("tokens").alias("size"))
+    parts = parts.withColumn("before", F.sum("size").over(Window.partitionBy(*keys).orderBy("part")) - F.col("size"))
+    fits = F.col("before") + F.col("size") <= F.col("room") + 1e-6
+    full = parts.where(fits).groupBy(*keys).agg(F.max(F.shiftleft("part", 56).bitwiseOR(F.lit((1 << 56) - 1))).alias("last"))
+    split = parts.where(~fits & (F.col("before") < F.col("room"))).select(*keys, "part", "before")
+    sums = F.sum("tokens").over(Window.partitionBy(*keys).orderBy("place"))
+    some = rows.join(split, [*keys, "part"]).withColumn("sum", F.col("before") + sums).where(F.col("sum") <= F.col("room") + 1e-6)
+    return full.unionByName(some.groupBy(*keys).agg(F.max("place").alias("last"))).groupBy(*keys).agg(F.max("last").alias("last"))

@@ -167,34 +167,55 @@ def test_coordinate_pruning_keeps_a_dominant_axis(sign):
         assert got[1][got[0] == i].tolist() == ids[np.lexsort((ids, -scores[i]))[:20]].tolist()
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("range_bytes", [1 << 25, 300])
+def test_shards(spark, range_bytes):
     docs = docs_of(spark)
-    rows = histogram_shards.shard(docs, 5).collect()
+    rows = histogram_shards.shard(docs, 5, range_bytes).collect()
     assert len(rows) == docs.count()
     by = {}
     for r in rows:
-        assert r.size == len((r.text or "").encode()) + 8
-        by.setdefault(r.shard, []).append(r)
+        assert r.size == len((r.text or "").encode()) + 8 and r.shard == (1 if r.doc_id is None else 9)  # shard is a column of docs
+        by.setdefault(r.shard_, []).append(r)
     assert set(by) <= set(range(5)) and all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
-    small = histogram_shards.shard(spark.createDataFrame([(i, "x" * (i % 50)) for i in range(3000)], "doc_id long, text string"), 4)
+    # against the plain way: sort all keys, and cut where the bytes so far come nearest to each share
+    texts = [(i, "x" * (i % 50) if i % 3 else "a text of a third of all rows") for i in range(3000)]
+    small = histogram_shards.shard(spark.createDataFrame(texts, "doc_id long, text string"), 4, range_bytes).collect()
     sizes = Counter()
-    for r in small.collect():
+    for r in small:
         sizes[r.shard] += r.size
     assert max(sizes.values()) - min(sizes.values()) < 0.02 * max(sizes.values())
+    key = {i: (xxhash.xxh64(t.encode(), seed=42).intdigest(), i) for i, t in texts}
+    key = {i: (h - 2**64 if h >= 2**63 else h, i) for i, (h, _) in key.items()}
+    assert [r.doc_id for r in sorted(small, key=lambda r: (r.shard, r.slot))] == sorted(key, key=key.get)
 
 
 def test_mixture(spark):
-    rows = [(i, "w " * (1 + i % 9), "big" if i % 10 else "rare", 1) for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix int")
+    rows = [(i if i % 4 else None, f"{i} " + "w " * (i % 9), "big" if i % 10 else "rare", "own") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_block string")
     got = temperature_mix.mix(docs, 0.99, 3.0, block_tokens=300).collect()
     tokens = Counter()
     for r in got:
         tokens[r.source] += r.mix_tokens
+        assert r.mix_block == "own" and r.mix_tokens == len(r.text.split())
     weight = {r.source: r.mix_weight for r in got}
     total = sum(tokens.values())
     assert all(abs(tokens[s] / total - w) < 0.01 for s, w in weight.items())
-    assert {r.doc_id for r in got} == set(range(3000)) and max(r.mix_epoch for r in got) <= 3
-    assert len({(r.doc_id, r.mix_epoch) for r in got}) == len(got) and all(0 <= r.mix_at <= 1 for r in got)
+    assert {r.text for r in got} == {t for _, t, _, _ in rows} and max(r.mix_epoch for r in got) <= 3
+    assert len({(r.text, r.mix_epoch) for r in got}) == len(got) and all(0 <= r.mix_at <= 1 for r in got)
+    # the plain way: an epoch's blocks in the order of mix_at, whole but for the last, which ends where the budget does
+    share = {r.source: r.mix_weight * sum(tokens.values()) for r in got}
+    for source in share:
+        size = Counter()
+        for _, t, s, _ in rows:
+            if s == source:
+                size["all"] += len(t.split())
+        by_block = Counter()
+        for r in got:
+            if r.source == source:
+                by_block[r.mix_epoch, r.mix_block_] += r.mix_tokens
+        whole = {b: max(n for (_, x), n in by_block.items() if x == b) for _, b in by_block}
+        assert sum(whole.values()) == size["all"] and sum(n < whole[b] for (_, b), n in by_block.items()) <= 1
+        assert abs(tokens[source] - share[source]) <= 10
     sizes = {"a": 900, "b": 90, "c": 10}
     x = temperature_mix.solve(sizes, 0.9 * np.log(3), None, None)
     assert abs(temperature_mix.entropy(temperature_mix.weights_at(sizes, x)) - 0.9 * np.log(3)) < 1e-6
