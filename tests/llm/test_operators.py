@@ -14,6 +14,7 @@ from meridio.llm import bucket_topk, histogram_shards, pca_dedup, pitman_yor, qu
 from tests.oracle import SF, check, connection
 
 DOCS = "doc_id long, text string, source string, score double, shard int, word string"  # columns whose names clash with results
+BIG = 2**53
 LONG = " ".join(f"w{i % 997}" for i in range(20000))
 
 
@@ -102,8 +103,22 @@ def test_pca_dedup_against_all_pairs(spark):
     ok = {i: np.array(v) for i, v in rows.items() if good(v) and any(v)}
     pairs = [(a, b) for a in ok for b in ok if a != b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= 0.9]
     want, n = components(list(rows), pairs), Counter(a for a, _ in pairs)
-    got = {r.vec_id: r for r in pca_dedup.near_duplicates(df, tile=64).collect()}
-    assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (n[i], want[i], want[i] == i) for i in rows}
+    for tile in (64, 7):
+        got = {r.vec_id: r for r in pca_dedup.near_duplicates(df, tile=tile).collect()}
+        assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (n[i], want[i], want[i] == i) for i in rows}
+
+
+def test_pca_dedup_of_a_dense_group_and_ties(spark):
+    """Many near copies, some equal on the leading axes, and ids over 2^53 beside a null one."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=6)
+    rows = [(BIG + 1 + 2 * i, (base + rng.normal(size=6) * (0.02 if i < 150 else 3)).tolist()) for i in range(300)] + [(BIG + 2001, base.tolist()), (None, base.tolist())]
+    v = {i: np.array(x) / np.linalg.norm(x) for i, x in rows if i is not None}
+    pairs = [(a, b) for a in v for b in v if a != b and v[a] @ v[b] >= 0.9]
+    want, n = components(list(v), pairs), Counter(a for a, _ in pairs)
+    got = {r.vec_id: r for r in pca_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile=16).collect()}
+    assert not got[None].kept and got.pop(None).n_links == 0
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (n[i], want[i]) for i in v}
 
 
 def plain_topk(rows):
@@ -239,9 +254,6 @@ def test_warc_round_trip(spark):
         assert bytes(r.payload) == (data if first == i else b"")
 
 
-BIG = 2**53
-
-
 def test_warc_ids_beyond_doubles(spark):
     html = "<p>" + "same " * 50
     pages = [(BIG + 1, "u", html), (BIG + 3, "u", html), (None, "u", html), (None, "u", "short"), (BIG + 5, "u", "short"), (BIG + 7, None, None)]
