@@ -366,6 +366,74 @@ def test_pitman_yor_probabilities_add_up_and_rare_tokens_agree(spark, monkeypatc
     assert {(r.doc_id, round(r.score, 6)) for r in pitman_yor.score(docs, model).collect()} == whole
 
 
+def test_pitman_yor_scores_against_the_seatings(spark, monkeypatch):
+    """Every score against the averaged predictive probabilities of the sampled seatings, written out plainly; ids over 2^53 beside a null."""
+    states = []
+    sweep = pitman_yor.sweep
+
+    def recorded(state, total, seed, sample):
+        after = sweep(state, total, seed, sample).persist()
+        states.append([(bytes(r.word), np.frombuffer(r.cells, pitman_yor.CELL), r.t0) for r in after.where("word is not null").collect()])
+        return after
+
+    monkeypatch.setattr(pitman_yor, "sweep", recorded)
+    monkeypatch.setattr(pitman_yor, "HEAD", 4)
+    rng = np.random.default_rng(12)
+    words = ["the", "cat,", "sat", "9", "mat.", "é"]
+    rows = [(BIG + 1 + 2 * i, " ".join(rng.choice(words, 12, p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1]))) for i in range(60)] + [(None, "the new cat"), (BIG + 501, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pitman_yor.train(docs)
+    assert len(states) == pitman_yor.BURN + pitman_yor.SAMPLES
+    d, s, d0, s0 = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, pitman_yor.ROOT_DISCOUNT, pitman_yor.ROOT_STRENGTH
+    each = []
+    for state in states[pitman_yor.BURN :]:
+        c, t, c0, t0 = {}, {}, Counter(), {}
+        for w, cells, top in state:
+            t0[w] = int(top)
+            for k, n, tables, _ in cells.tolist():
+                c[w, k], t[w, k] = n, tables
+                assert 1 <= tables <= n
+                c0[w] += tables
+            assert 1 <= t0[w] <= c0[w]
+        ck, tk = Counter(), Counter()
+        for (_, k), n in c.items():
+            ck[k] += n
+        for (_, k), n in t.items():
+            tk[k] += n
+        n0, m0 = sum(c0.values()), sum(t0.values())
+
+        def p(w, k, c=c, t=t, c0=c0, t0=t0, ck=ck, tk=tk, n0=n0, m0=m0):
+            root = max(c0[w] - d0 * t0.get(w, 0), 0) / (s0 + n0) + (s0 + d0 * m0) / (s0 + n0) / (len(t0) + 1)
+            return max(c.get((w, k), 0) - d * t.get((w, k), 0), 0) / (s + ck[k]) + (s + d * tk[k]) / (s + ck[k]) * root
+
+        each.append(p)
+    want = {i: sum(math.log10(np.mean([p(w, k) for p in each])) for w, k in zip([*pitman_yor.tokens(t), b""], pitman_yor.contexts(pitman_yor.tokens(t)), strict=True)) for i, t in rows}
+    got = {r.doc_id: r.score for r in pitman_yor.score(docs, model).collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
+
+
+def test_seating_against_one_customer_after_the_other():
+    """The mean number of tables, of customers who come in groups, against customers who come one by one."""
+    rng = np.random.default_rng(13)
+    n, base, d = 400, 3.0, 0.75
+    plain = []
+    for _ in range(400):
+        t = 1
+        for seated in range(1, n):
+            t += rng.random() < base / (seated - d * t + base)
+        plain.append(t)
+    got = pitman_yor.seat(np.full(400, n), np.full(400, base), d, rng)
+    assert abs(got.mean() - np.mean(plain)) < 4 * np.std(plain) / math.sqrt(400) + 0.02 * np.mean(plain)
+    assert pitman_yor.seat(np.array([0, 1, 2]), np.full(3, 1e9), d, rng).tolist() == [0, 1, 2]
+
+
+def test_pitman_yor_lowers_held_out_perplexity(spark):
+    got = pitman_yor.score_documents(spark.read.parquet(f"{SF}/documents.parquet")).where("held_out").collect()
+    n = sum(r.n_tokens for r in got)
+    base, model = (10 ** (-sum(r[c] for r in got) / n) for c in ("base_score", "score"))
+    assert model < 0.9 * base
+
+
 @pytest.mark.parametrize("name,label,threshold", [("op1_subword_quality", "quality", 0.3), ("op6_subsequence_toxicity", "toxic", 0.5)])
 def test_classifiers_on_held_out_rows(spark, name, label, threshold):
     sf = SF.replace("sf0.01", "sf0.1")
