@@ -19,11 +19,11 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meridio.llm.common import connected_components, drop_path, small_batches, write_table
+from meridio.llm import similar_sets
+from meridio.llm.common import connected_components, drop_path, free_name, small_batches, write_table
 
 REACH = 3
 BITS = 64
@@ -36,21 +36,15 @@ PROBE_COST = 4.0
 
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The fingerprint as an unsigned integer."""
-    w = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-    if not w:
-        return 0
-    n = max(1, len(w) - words + 1)
-    joined = b" ".join(w)
-    ends = np.cumsum([len(x) + 1 for x in w]) - 1
-    starts = np.r_[0, ends[:-1] + 1]
+    return majority(similar_sets.hashes(text, words))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     counts = np.zeros(BITS, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, 1 << 15):
-        some = range(at, min(at + (1 << 15), n))
-        s, e = starts[some.start : some.stop].tolist(), ends[np.minimum(np.arange(some.start, some.stop) + words - 1, len(w) - 1)].tolist()
-        h = np.array([digest(joined[i:j], 42) for i, j in zip(s, e, strict=True)], dtype="<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 1 << 15):
+        counts += np.unpackbits(hashes[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -302,9 +296,22 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = REACH) -> Data
     return components(fps, reach).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, reach: int = REACH) -> DataFrame:
-    """docs without all but one of each component: its smallest doc_id, once. Rows of a null doc_id stay."""
-    kept = near_duplicates(docs, words, reach).where("doc_id = component_id").select("doc_id").distinct()
+def keep_one(docs: DataFrame, words: int = 5, reach: int = REACH) -> DataFrame:
+    """docs without all but one of each component of near duplicates: its smallest doc_id, once.
+
+    Near duplicates are sets of word shingles of Jaccard similarity 0.8 or more. Links of the fingerprints are verified on the
+    texts; what differs in more bits than reach, as most pairs of 0.8 do, is found by similar_sets. Rows of a null doc_id
+    stay; rows of one doc_id are one document, with the links of all.
+    """
+    spark = docs.sparkSession
+    sets, _ = write_table(similar_sets.classes(docs, words, lambda h: majority(h) - (majority(h) >> 63 << 64)), "sets")
+    distinct, path = write_table(sets.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    near, _ = write_table(near_links(distinct, reach), "candidates")
+    equal = sets.select("fp", F.col("node").alias("u")).join(distinct.withColumnRenamed("node", "v"), "fp").where("u <> v").select("u", "v")
+    found = connected_components(similar_sets.links(docs, sets, near.union(equal), words))
+    drop_path(spark, path)
+    kept = sets.select(F.col("node").alias("doc_id")).distinct().join(found.where("node <> component").select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
+    nth = free_name(docs.columns, "nth")
+    once = docs.join(kept, "doc_id", "left_semi").withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth)
     return once.unionByName(docs.where("doc_id is null"))

@@ -62,9 +62,6 @@ def test_simhash_against_all_pairs(spark):
             assert r.component_id is None
         else:
             assert (r.fp & (2**64 - 1), r.component_id) == (fp[r.doc_id], want[r.doc_id])
-    kept = simhash_dedup.keep_one(docs, 3).select("doc_id").collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want.values()))
-    assert sum(r.doc_id is None for r in kept) == 1
 
 
 def test_simhash_cells_of_hot_keys(spark, monkeypatch):
@@ -583,19 +580,40 @@ def edited_docs(spark):
     return texts
 
 
-@pytest.mark.parametrize("hot,first", [(3, 8), (10**9, 1)])
-def test_pipeline_near_duplicates_against_all_pairs(spark, monkeypatch, hot, first):
+@pytest.mark.parametrize("first,rounds", [(2, 2), (1, 0)])
+def test_pipeline_near_duplicates_against_all_pairs(spark, monkeypatch, first, rounds):
     import corpus_pipeline
 
-    from meridio.llm import jaccard_dedup
+    from meridio.llm import similar_sets
 
-    monkeypatch.setattr(jaccard_dedup, "HOT", hot)
-    monkeypatch.setattr(jaccard_dedup, "FIRST", first)
+    monkeypatch.setattr(similar_sets, "FIRST", first)
+    monkeypatch.setattr(similar_sets, "ROUNDS", rounds)
     texts = edited_docs(spark)
     links = plain_links(texts)
     assert sum(texts[a] != texts[b] for a, b in links) > 100
     want = set(components(list(texts), links).values())
-    docs = spark.createDataFrame([*texts.items(), (20, texts[20]), (None, "no id")], "doc_id long, text string")
-    kept = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    docs = spark.createDataFrame([*((i, t, "own") for i, t in texts.items()), (20, texts[20], "own"), (None, "no id", "own")], "doc_id long, text string, nth string")
+    found = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert found.columns == docs.columns
+    kept = [r.doc_id for r in found.collect()]
     assert sorted(i for i in kept if i is not None) == sorted(want) and kept.count(None) == 1
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_bitmaps_differ_in_no_more_bits_than_sets_in_members(spark):
+    from pyspark.sql import functions as F
+
+    from meridio.llm import similar_sets
+
+    rng = np.random.default_rng(14)
+    rows, apart = [], []
+    for n in (1, 3, 31, 32, 33, 40, 60, 64, 65, 300, 1000):
+        for cut in (0, 0.02, 0.1, 0.2, 0.5):
+            a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[int(cut * len(a)) :], rng.integers(0, 2**63, int(cut * n), dtype=np.uint64), rng.integers(0, 2**63, n // 6, dtype=np.uint64)])
+            apart.append((len(np.setxor1d(a, b)), similar_sets.similar(a, b)))
+            rows.append((len(rows), (len(a), similar_sets.bitmap(a).tolist()), (len(b), similar_sets.bitmap(b).tolist())))
+    df = spark.createDataFrame(rows, "i int, x struct<n: int, bits: array<long>>, y struct<n: int, bits: array<long>>")
+    like = df.where("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
+    got = like.select("i", F.expr(similar_sets.difference("x", "y")).alias("d"), F.expr(similar_sets.may_be_similar("x", "y")).alias("ok")).collect()
+    assert len(got) > 20 and all(r.d <= apart[r.i][0] and (r.d - apart[r.i][0]) % 2 == 0 and (r.ok or not apart[r.i][1]) for r in got)
