@@ -10,27 +10,28 @@ near-duplicate stage, an empty table stays empty.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from meridio.llm import jaccard_dedup, subsequence_toxicity, subword_quality, temperature_mix, vector_packing
-from meridio.llm.common import write_table
+from meridio.llm import simhash_dedup, subsequence_toxicity, subword_quality, temperature_mix, vector_packing
+from meridio.llm.common import free_name, write_table
 from meridio.llm.queries import QUALITY_FROM, TOXIC_FROM, table, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose quality score is under the threshold."""
     model = subword_quality.train(docs, table(spark, sf_dir, "labels"))
-    return subword_quality.score_documents(docs, model).where(f"score >= {QUALITY_FROM}").select(docs.columns)
+    return subword_quality.score_documents(docs, model).where(F.col(free_name(docs.columns, "score")) >= QUALITY_FROM).select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents whose toxicity score reaches the threshold."""
     machine = subsequence_toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return subsequence_toxicity.score_documents(docs, machine).where(f"score < {TOXIC_FROM}").select(docs.columns)
+    return subsequence_toxicity.score_documents(docs, machine).where(F.col(free_name(docs.columns, "score")) < TOXIC_FROM).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each component of near duplicates: 5-word shingles of Jaccard 0.8 or more."""
-    return jaccard_dedup.keep_one(docs, words=5).select(docs.columns)
+    return simhash_dedup.keep_one(docs, words=5).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
