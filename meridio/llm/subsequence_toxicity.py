@@ -130,6 +130,7 @@ class Machine:
         self.share = np.concatenate([w / np.sqrt(w @ w) for _, w in found])[order]
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.slot(self.keys)] = True
+        self.keys = np.r_[self.keys, np.iinfo(np.int64).max]  # a stop, over any key
         return self
 
     @staticmethod
@@ -148,19 +149,20 @@ class Machine:
             for at in range(0, len(of), 2048):
                 part = np.array(of[at : at + 2048])
                 k = keys([spans[i] for i in part])
-                row, col = np.nonzero(self.maybe[self.slot(k)])
-                if not len(row):
-                    continue
-                hit = k[row, col]
-                place = np.minimum(np.searchsorted(self.keys, hit), len(self.keys) - 1)
+                at_hit = np.flatnonzero(self.maybe[self.slot(k)])
+                hit = k.ravel()[at_hit]
+                place = np.searchsorted(self.keys, hit)  # slots are none over the last key, which is followed by a stop
                 real = self.keys[place] == hit
-                row, col, place = row[real], col[real], place[real]
-                if not len(row):
+                at_hit, place = at_hit[real], place[real]
+                if not len(at_hit):
                     continue
-                some, at_row = np.unique(row, return_inverse=True)
+                row, col = np.divmod(at_hit, k.shape[1])
+                new = np.r_[True, row[1:] != row[:-1]]
+                some, at_row = row[new], np.cumsum(new) - 1
                 times = self.often[place]
-                each = np.repeat(self.first[place] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())
-                cell = np.repeat(at_row, times) * len(self.landmarks) + self.whose[each]
+                ends = np.cumsum(times)
+                each = np.arange(ends[-1]) + np.repeat(self.first[place] - ends + times, times)
+                cell = self.whose[each] + np.repeat(at_row * len(self.landmarks), times)
                 raw = np.bincount(cell, self.share[each] * np.repeat(weight[col], times), len(some) * len(self.landmarks)).reshape(len(some), -1)
                 high = raw.max(1) >= FLOOR * least
                 if high.any():
@@ -283,14 +285,14 @@ class Scorer:
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = sorted(set().union(*found))
-        spans = [windows(t) for t in new if not t.startswith(RUN_MARK)]
+        short = [t for t in new if len(t) <= RUN_PIECE or not t.startswith(RUN_MARK)]
+        spans = [windows(t) for t in short]
         flat = sorted({s for x in spans for s in x})
         margin = dict(zip(flat, self.machine.margins(flat), strict=True))
-        for t, x in zip((t for t in new if not t.startswith(RUN_MARK)), spans, strict=True):
+        for t, x in zip(short, spans, strict=True):
             self.memo[t] = max((margin[s] for s in x), default=-10.0)
-        for t in new:
-            if t.startswith(RUN_MARK):
-                self.memo[t] = self.of_run(t)
+        for t in set(new) - set(short):
+            self.memo[t] = self.of_run(t)
         return found
 
     def of_run(self, token: str) -> float:
