@@ -39,6 +39,8 @@ NEAR_SHARE = 0.45
 SAMPLE_PER_CLASS, LANDMARKS = 1200, 96
 #: Lengths of the words that are looked for in a run of single characters; RUN_MARK begins such a run.
 SPELLED, RUN_MARK = range(3, 11), "\x01"
+#: Spans whose kernel sums are taken at a time: their lists stay in a core's cache.
+STEP = 256
 #: A worker's memory of span scores is emptied beyond this many entries.
 MEMO = 1_000_000
 #: Characters of a run that are scored at a time; windows of WIDTH fall on the same places.
@@ -55,6 +57,8 @@ def windows(token: str) -> list[str]:
     if token.startswith(RUN_MARK):
         run = token[1:]
         return [*cut(run), *{f"^{run[i : i + n]}$" for n in SPELLED for i in range(len(run) - n + 1)}]
+    if token.isalnum():
+        return cut(token)
     bare = _OUTER.sub("", token)
     inner = _INNER.sub("", bare)
     if inner != bare:
@@ -75,26 +79,33 @@ def tokens(text: str | None) -> set[str]:
     low = (text or "").lower()
     words = low.split()
     found = {w.strip(PUNCTUATION) for w in set(words)}
-    if sum(len(w) == 1 for w in words) > 2:  # a run has three such words
+    if list(map(len, words)).count(1) > 2:  # a run has three such words
         found.update(RUN_MARK + re.sub(r"\s", "", r) for r in RUN.findall(low))
     return found
 
 
-_places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_places: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def places(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every three increasing places in a span of this length (under WIDTH), and DECAY to the width they take."""
+def places(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every three increasing places in a span of this length (WIDTH at most), DECAY to the width they take, every two places, and which of these each three begin with."""
     if length not in _places:
         at = np.array(list(combinations(range(length), 3)), np.int64).reshape(-1, 3)
-        _places[length] = at, DECAY ** (at[:, 2] - at[:, 0] + 1.0) if len(at) else np.zeros(0)
+        two = list(combinations(range(length), 2))
+        nth = {x: i for i, x in enumerate(two)}
+        pair = np.array([nth[i, j] for i, j, _ in at.tolist()], np.int64)
+        _places[length] = at, DECAY ** (at[:, 2] - at[:, 0] + 1.0) if len(at) else np.zeros(0), np.array(two, np.int64).reshape(-1, 2), pair
     return _places[length]
 
 
-def keys(spans: list[str]) -> np.ndarray:
-    """One exact integer for each subsequence of three characters, for spans of one length."""
-    x = np.array([[ord(c) for c in s] for s in spans], np.int64)
-    at, _ = places(x.shape[1])
+def characters(spans: list[str]) -> np.ndarray:
+    """Code points of spans of one length, one row each."""
+    return np.frombuffer("".join(spans).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(spans), -1).astype(np.int64)
+
+
+def keys(x: np.ndarray) -> np.ndarray:
+    """One exact integer for each subsequence of three characters."""
+    at = places(x.shape[1])[0]
     return (x[:, at[:, 0]] << 42) | (x[:, at[:, 1]] << 21) | x[:, at[:, 2]]
 
 
@@ -122,21 +133,26 @@ class Machine:
 
     def prepare(self):
         """The landmarks' subsequences as one sorted list, with a column of weights for each landmark."""
-        found = [gathered(keys([x])[0], places(len(x))[1]) for x in self.landmarks]
+        found = [gathered(keys(characters([x]))[0], places(len(x))[1]) for x in self.landmarks]
         k = np.concatenate([f[0] for f in found])
         order = np.argsort(k, kind="stable")
-        self.keys, self.first, self.often = np.unique(k[order], return_index=True, return_counts=True)
+        every, self.first, self.often = np.unique(k[order], return_index=True, return_counts=True)
         self.whose = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])[order]
         self.share = np.concatenate([w / np.sqrt(w @ w) for _, w in found])[order]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[self.slot(self.keys)] = True
-        self.keys = np.r_[self.keys, np.iinfo(np.int64).max]  # a stop, over any key
+        # tables from characters to the landmarks' characters, from two of these to a pair, from a pair and a third to a subsequence
+        three = np.stack([every >> 42, every >> 21 & (1 << 21) - 1, every & (1 << 21) - 1])
+        known = np.unique(three)
+        self.code = np.zeros(0x110000, np.int32)
+        self.code[known] = np.arange(1, len(known) + 1)
+        self.size = len(known) + 1
+        c = self.code[three].astype(np.int64)
+        pairs, of = np.unique(c[0] * self.size + c[1], return_inverse=True)
+        self.pairs = np.zeros(self.size**2, np.int32)
+        self.pairs[pairs] = np.arange(1, len(pairs) + 1)
+        self.thirds = np.full((len(pairs) + 1) * self.size, -1, np.int32)
+        self.thirds[(of + 1) * self.size + c[2]] = np.arange(len(every))
         return self
 
-    @staticmethod
-    def slot(k: np.ndarray) -> np.ndarray:
-        return ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-
     def features(self, spans: list[str]) -> np.ndarray:
         """Kernel of each span with each landmark: exp(SHARP * (normalised count - 1)), 0 for counts under FLOOR."""
         out = np.zeros((len(spans), len(self.landmarks)), np.float32)
@@ -144,19 +160,19 @@ class Machine:
         for i, x in enumerate(spans):
             by.setdefault(len(x), []).append(i)
         for length, of in by.items():
-            weight = places(length)[1]
+            at, weight, two, pair = places(length)
             least = np.sqrt(weight @ weight)  # of the span's norm; repeated subsequences only add to it
-            for at in range(0, len(of), 2048):
-                part = np.array(of[at : at + 2048])
-                k = keys([spans[i] for i in part])
-                at_hit = np.flatnonzero(self.maybe[self.slot(k)])
-                hit = k.ravel()[at_hit]
-                place = np.searchsorted(self.keys, hit)  # slots are none over the last key, which is followed by a stop
-                real = self.keys[place] == hit
-                at_hit, place = at_hit[real], place[real]
+            for start in range(0, len(of), STEP):
+                part = np.array(of[start : start + STEP])
+                x = characters([spans[i] for i in part])
+                code = self.code[x]
+                begun = self.pairs[code[:, two[:, 0]] * self.size + code[:, two[:, 1]]] * self.size
+                found = self.thirds[begun[:, pair] + code[:, at[:, 2]]].ravel()
+                at_hit = np.flatnonzero(found >= 0)
                 if not len(at_hit):
                     continue
-                row, col = np.divmod(at_hit, k.shape[1])
+                place = found[at_hit]
+                row, col = np.divmod(at_hit, len(pair))
                 new = np.r_[True, row[1:] != row[:-1]]
                 some, at_row = row[new], np.cumsum(new) - 1
                 times = self.often[place]
@@ -166,7 +182,7 @@ class Machine:
                 raw = np.bincount(cell, self.share[each] * np.repeat(weight[col], times), len(some) * len(self.landmarks)).reshape(len(some), -1)
                 high = raw.max(1) >= FLOOR * least
                 if high.any():
-                    near = raw[high] / norms(k[some[high]], weight)[:, None]
+                    near = raw[high] / norms(keys(x[some[high]]), weight)[:, None]
                     out[part[some[high]]] = np.where(near >= FLOOR, np.exp(SHARP * (near - 1)), 0)
         return out
 
