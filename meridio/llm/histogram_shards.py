@@ -25,7 +25,7 @@ from meridio.llm.common import free_name, write_table
 #: bytes, a splitter may stay.
 PROBES, TOLERANCE = 8192, 0.0005
 #: Bytes of a range that is sorted by itself; more only where the table has over RANGES times as many.
-RANGE_BYTES, RANGES = 32 << 20, 1 << 17
+RANGE_BYTES, RANGES = 8 << 20, 1 << 18
 LOW, HIGH = -(2**63), 2**63 - 1
 
 
@@ -159,7 +159,9 @@ def shard(docs: DataFrame, shards: int = 24, range_bytes: int = RANGE_BYTES) ->
         at = place(probes, k1.to_numpy(np.int64), k2.to_numpy(np.int64))
         return pd.DataFrame({"bin": at, "shard": shard_of[at], "before": before[at]})
 
-    order = Window.partitionBy("at.bin").orderBy("k1", "k2")
-    dealt = keyed.withColumn("at", placed("k1", "k2")).withColumn("nth", F.row_number().over(order))
+    order = Window.partitionBy("bin").orderBy("k1", "k2")
+    each = keyed.withColumn("at", placed("k1", "k2")).withColumn("bin", F.col("at.bin"))
+    # one exchange, a task for each range: a partitioning by ranges of bin is one that the window can use
+    dealt = each.repartitionByRange(len(fine) + 1, "bin").withColumn("nth", F.row_number().over(order))
     name = lambda x: free_name(docs.columns, x)
     return dealt.select("row.*", F.col("size").alias(name("size")), F.col("at.shard").alias(name("shard")), (F.col("at.before") + F.col("nth") - 1).alias(name("slot")))
