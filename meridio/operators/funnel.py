@@ -47,18 +47,24 @@ def levels(tables, r: Request) -> DataFrame:
     return rows.groupBy("distinct_id").agg(level.alias("level"), *first)
 
 
-def counts(tables, r: Request, fold: bool = True) -> DataFrame:
+def counts(tables, r: Request) -> DataFrame:
     """step, event_kind, breakdown_i, value; no rows without matching users."""
+    return folded(tables, r).drop("kept")
+
+
+def folded(tables, r: Request) -> DataFrame:
+    """counts, with kept: false for the rest of the breakdowns."""
     spec, names = r.spec, breakdown_names(len(r.spec.breakdowns))
     at = [F.count(F.when(F.col("level") >= i + 1, 1)).cast("double").alias(f"v{i}") for i in range(len(spec.events))]
     cells = levels(tables, r).where("level > 0").groupBy(*names).agg(*at) if names else levels(tables, r).where("level > 0").groupBy().agg(*at).where("v0 > 0")
     each = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(e.kind).alias("event_kind"), F.col(f"v{i}").alias("value")) for i, e in enumerate(spec.events)])
-    out = cells.select(*names, F.inline(each)).select("step", "event_kind", *names, "value")
-    if not (names and fold):
+    out = cells.select(*names, F.inline(each)).select("step", "event_kind", *names, "value", F.lit(True).alias("kept"))
+    if not names:
         return out
     top = out.where("step = 0").orderBy(F.desc("value"), *names).limit(spec.breakdown_limit or DEFAULT_TOP_N).select(*names, F.lit(True).alias("__top"))
-    folded = [F.when(F.col("__top"), F.col(c)).otherwise(F.lit(props.OTHERS)).alias(c) for c in names]
-    return out.join(F.broadcast(top), names, "left").groupBy("step", "event_kind", *folded).agg(F.sum("value").alias("value"))
+    kept = F.coalesce("__top", F.lit(False))
+    named = [F.when(kept, F.col(c)).otherwise(F.lit(props.OTHERS)).alias(c) for c in names]
+    return out.drop("kept").join(F.broadcast(top), names, "left").groupBy("step", "event_kind", *named, kept.alias("kept")).agg(F.sum("value").alias("value"))
 
 
 def matched_times(tables, r: Request) -> DataFrame:
@@ -68,7 +74,8 @@ def matched_times(tables, r: Request) -> DataFrame:
     a row that matches the next step later than the window after the anchor ends the match.
     """
     names, w = breakdown_names(len(r.spec.breakdowns)), window_seconds(r) * 1_000_000
-    rows = step_events(tables, r).withColumn("step", F.element_at("steps", 1)).withColumn("us", F.unix_micros(F.date_trunc("millisecond", "occur_time")))
+    timed = levels(tables, r).where("level > 1").select("distinct_id")  # the others have no time between steps
+    rows = step_events(tables, r).join(timed, "distinct_id", "left_semi").withColumn("step", F.element_at("steps", 1)).withColumn("us", F.unix_micros(F.date_trunc("millisecond", "occur_time")))
     first = [F.min_by(c, F.struct("occur_time", "event_id")).alias(c) for c in names]
     users = rows.groupBy("distinct_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "step"))).alias("rows"), *first)
     start = F.struct(F.array().cast("array<bigint>").alias("times"), F.lit(False).alias("over"))
@@ -104,11 +111,11 @@ def timing(tables, r: Request) -> DataFrame:
 
 
 def with_timing(tables, r: Request) -> DataFrame:
-    """Counts with timing attached; step 0 has none, steps nobody reached have zeros."""
+    """Counts with timing attached; step 0 and the rest of the breakdowns have none, steps nobody reached have zeros."""
     names = breakdown_names(len(r.spec.breakdowns))
-    out = counts(tables, r, fold=False).join(timing(tables, r), ["step", *names], "left")
+    out = folded(tables, r).join(timing(tables, r).withColumn("kept", F.lit(True)), ["step", *names, "kept"], "left")
     zero = F.array(*[F.lit(0).cast("long")] * (len(BOUNDS) + 1))
-    later = F.col("step") > 0
+    later = (F.col("step") > 0) & F.col("kept")
     return out.withColumns(
         {c: F.when(later, F.coalesce(c, F.lit(0.0))) for c in ("avg_seconds", "median_seconds", "p95_seconds")} | {"histogram": F.when(later, F.coalesce("histogram", zero))}
-    ).drop("converted")
+    ).drop("converted", "kept")
