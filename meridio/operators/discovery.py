@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridio.functions import props
@@ -41,13 +41,20 @@ def property_keys(buckets: DataFrame, allowed: tuple[str, ...] = ()) -> DataFram
     return rows.orderBy(F.desc("count"), "key").limit(KEYS_LIMIT)
 
 
+def depth(document) -> Column:
+    """How deep objects and lists lie within each other, counted on the brackets outside of strings."""
+    brackets = F.regexp_replace(F.regexp_replace(F.to_json(document), r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)).alias("most"))
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+
+
 def profile_keys(profiles: DataFrame) -> DataFrame:
-    """key (dotted path of a leaf), value_type, count, for nested properties up to four levels."""
+    """key (dotted path of a leaf), value_type, count, for properties nested to any depth; lists are leaves."""
     level = profiles.select(F.col("properties").alias("v"), F.lit("").alias("path"))
     out = None
-    for _ in range(4):
-        level.createOrReplaceTempView("__level")
-        each = level.sparkSession.sql("SELECT concat_ws('.', nullif(path, ''), e.key) AS path, e.value AS v FROM __level, LATERAL variant_explode(v) AS e WHERE e.key IS NOT NULL")
+    for _ in range(max(1, profiles.agg(F.max(depth(F.col("properties")))).first()[0] or 0)):  # one number of one pass
+        each = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("v").outer())).where("key is not null")
+        each = each.select(F.concat_ws(".", F.nullif("path", F.lit("")), "key").alias("path"), F.col("value").alias("v"))
         nested = F.schema_of_variant("v").startswith("OBJECT")
         leaves = each.where(~nested).select(F.col("path").alias("key"), value_type(F.schema_of_variant("v")).alias("value_type"))
         out = leaves if out is None else out.unionByName(leaves)
@@ -55,6 +62,21 @@ def profile_keys(profiles: DataFrame) -> DataFrame:
     return out.groupBy("key", "value_type").agg(F.count("*").alias("count"))
 
 
+def schema(keys: DataFrame, rollup: DataFrame) -> DataFrame:
+    """key, value_type, count: discovered automatic keys, and every promoted string property, which the map no longer holds.
+
+    Those that the rollup has as a dimension are counted there, 0 where it has no row; for the others the count of before
+    their promotion stays.
+    """
+    names = [k for k, (_, kind) in props.PROMOTED.items() if kind == "string"]
+    found = keys.where(~F.col("key").isin(names)).select("key", "value_type", "count")
+    frozen = keys.where(F.col("key").isin([n for n in names if n not in EVENT_DIMS])).groupBy("key").agg(F.max("count").alias("was"))
+    seen = promoted_key_counts(rollup).withColumnRenamed("count", "now")
+    every = keys.sparkSession.createDataFrame([(n,) for n in names], "key string")
+    counted = every.join(seen, "key", "left").join(frozen, "key", "left").select("key", F.lit("string").alias("value_type"), F.coalesce("now", "was", F.lit(0).cast("long")).alias("count"))
+    return found.unionByName(counted).orderBy(F.desc("count"), "key")
+
+
 def promoted_key_counts(rollup: DataFrame) -> DataFrame:
     """key, count of promoted properties that are set, from the event rollup; keys never seen count 0."""
     seen = rollup.where((F.col("dim") != TOTAL) & (F.col("dim_value") != "")).groupBy(F.col("dim").alias("key")).agg(F.sum("n").alias("count"))
