@@ -136,6 +136,31 @@ def derive(rows: DataFrame, url: str = "url", referrer: str = "referrer") -> Dat
     return d.withColumn("channel", F.when(F.col("__d.is_page"), channel(F.col("referrer_domain"), F.col("utm_source"), F.col("utm_medium"), signal)).otherwise("")).drop("__d")
 
 
+#: Derived keys and their columns in derive(), and those that only the server sets.
+ATTRIBUTED = {
+    "$pathname": "pathname", "$hostname": "hostname", "$referrerDomain": "referrer_domain", "$channel": "channel", "$screenSize": "screen_size",
+    "$utmSource": "utm_source", "$utmMedium": "utm_medium", "$utmCampaign": "utm_campaign", "$utmTerm": "utm_term", "$utmContent": "utm_content", "$locale": "locale",
+}
+SERVER_ONLY = ("$referrerDomain", "$channel")
+
+
+def attribute(events: DataFrame) -> DataFrame:
+    """events with the derived keys in `auto` (map<string,variant>): the server's own replace the client's, the locale is written
+    anew or goes, and others are written where something was derived."""
+    strings = lambda k: F.coalesce(F.when(F.schema_of_variant(F.col("auto")[k]) == "STRING", F.try_variant_get(F.col("auto")[k], "$", "string")), F.lit(""))
+    number = lambda k: F.coalesce(F.try_variant_get(F.col("auto")[k], "$", "bigint"), F.lit(0))
+    given = {column: strings(key) for key, column in ATTRIBUTED.items() if key not in (*SERVER_ONLY, "$locale", "$screenSize")}
+    work = events.select(F.struct("*").alias("__e"), "auto", strings("$url").alias("url"), strings("$referrer").alias("referrer"), *[c.alias(n) for n, c in given.items()])
+    work = work.withColumns({"screen_size": screen_size(strings("$screenSize"), number("$screenWidth"), number("$screenHeight")), "locale": locale(strings("$locale"))})
+    work = derive(work)
+    every = F.array(*[F.struct(F.lit(key).alias("key"), F.col(column).alias("value")) for key, column in ATTRIBUTED.items()])
+    written = F.map_from_entries(F.transform(F.filter(every, lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.struct(e["key"], e["value"].cast("variant"))))
+    goes = lambda k, v: k.isin(*SERVER_ONLY) | ((k == "$locale") & F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False)))
+    work = work.withColumn("__written", written)
+    stays = F.map_filter("auto", lambda k, v: ~goes(k, v) & ~F.map_contains_key("__written", k))
+    return work.withColumn("__auto", F.map_concat(stays, "__written")).select("__e.*", "__auto").drop("auto").withColumnRenamed("__auto", "auto").select(*events.columns)
+
+
 def locale(raw: Column) -> Column:
     """en_us becomes en-US, zh-hans-cn becomes zh-Hans-CN."""
     parts = F.split(F.replace(F.trim(raw), F.lit("_"), F.lit("-")), "-")
