@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridio.sources.tables import delete_ids, latest
+from meridio.sources.shared import new_path
+from meridio.sources.tables import ZERO, delete_ids, latest
 
 
 def live_profiles(tables) -> DataFrame:
@@ -44,26 +45,62 @@ def get_profile(tables, any_id: str, external: bool = False) -> DataFrame:
     return live.join(F.broadcast(ids.select("id")), "id")
 
 
-def merge_properties(older: DataFrame, newer: DataFrame) -> DataFrame:
-    """Shallow merge of id, properties (map<string,variant>): a key of the newer side wins."""
-    both = older.select("id", F.col("properties").alias("a")).join(newer.select("id", F.col("properties").alias("b")), "id", "full")
+def identify_all(tables, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to append to the logs of profiles and aliases for requests (project_id, external_id, anonymous_id, properties, at).
+
+    The profile of the external id is the live one, or a new one; its properties are those of the anonymous profiles, under its
+    own, under those of the requests, the later over the earlier, key by key. Anonymous profiles are buried and become aliases.
+    """
+    maps = lambda c: F.coalesce(F.col(c).cast("map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
+    asked = requests.where("coalesce(external_id, '') <> ''").withColumn("who", F.struct("project_id", "external_id"))
+    live = latest(tables.profiles, "id").where("is_deleted = 0")
+    known = live.where("external_id <> ''").groupBy("project_id", "external_id").agg(F.min("id").alias("id"))
+    made = F.concat(F.lit("p-"), F.substring(F.sha2(F.concat_ws("\0", "project_id", "external_id"), 256), 1, 32))
+    target = asked.groupBy("project_id", "external_id").agg(F.max("at").alias("at")).join(known, ["project_id", "external_id"], "left").withColumn("target", F.coalesce("id", made)).drop("id")
+    named = asked.join(target.drop("at"), ["project_id", "external_id"]).where("coalesce(anonymous_id, '') <> '' and anonymous_id <> target")
+    own = live.select("project_id", "id", "properties", "create_time")
+    # one row for each source of keys: 0 anonymous, 1 the profile itself, 2 requests
+    before = named.select("project_id", "external_id", F.col("anonymous_id").alias("id"), "at").join(own, ["project_id", "id"]).select("project_id", "external_id", F.lit(0).alias("rank"), "at", maps("properties").alias("m"))
+    itself = target.select("project_id", "external_id", F.col("target").alias("id"), "at").join(own, ["project_id", "id"]).select("project_id", "external_id", F.lit(1).alias("rank"), "at", maps("properties").alias("m"))
+    given = asked.select("project_id", "external_id", F.lit(2).alias("rank"), "at", maps("properties").alias("m"))
+    keys = before.union(itself).union(given).select("project_id", "external_id", "rank", "at", F.explode("m").alias("k", "v"))
+    merged = keys.groupBy("project_id", "external_id", "k").agg(F.max_by("v", F.struct("rank", "at")).alias("v"))
+    merged = merged.groupBy("project_id", "external_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    created = own.select("project_id", F.col("id").alias("target"), "create_time")
     empty = F.expr("cast(map() as map<string,variant>)")
-    a, b = F.coalesce("a", empty), F.coalesce("b", empty)
-    return both.select("id", F.map_concat(F.map_filter(a, lambda k, _: ~F.array_contains(F.map_keys(b), k)), b).alias("properties"))
-
-
-def identify(tables, anonymous: str, target: str, at) -> tuple[DataFrame, DataFrame]:
-    """Rows to append: the tombstone of an anonymous profile, and the alias from it to its target."""
-    gone = latest(tables.profiles, "id").where(F.col("id") == anonymous).withColumn("is_deleted", F.lit(1)).withColumn("insert_time", F.lit(at))
-    alias = latest(tables.profiles, "id").where(F.col("id") == target).select(F.lit(anonymous).alias("alias_id"), F.col("id").alias("profile_id"), "external_id", "project_id", F.lit(at).alias("insert_time"))
-    return gone, alias
-
-
-def erase(tables, any_id: str) -> dict[str, DataFrame]:
-    """What stays of each table once a person is erased; event rollups are exempt."""
-    ids = resolve(tables, any_id)
-    return {
+    rows = target.join(merged, ["project_id", "external_id"], "left").join(created, ["project_id", "target"], "left").select(
+        F.col("target").alias("id"), "project_id", "external_id", F.to_variant_object(F.coalesce("m", empty)).alias("properties"), F.lit(0).alias("is_deleted"),
+        F.coalesce("create_time", "at").alias("create_time"), F.col("at").alias("update_time"), F.col("at").alias("insert_time"),
+    )
+    once = named.groupBy("project_id", "anonymous_id").agg(F.max_by(F.struct("target", "external_id", "at"), F.struct("at", "external_id")).alias("x"))
+    buried = once.select("project_id", F.col("anonymous_id").alias("id"), "x.at").join(live.drop("insert_time"), ["project_id", "id"]).select(
+        "id", "project_id", "external_id", "properties", F.lit(1).alias("is_deleted"), "create_time", F.col("at").alias("update_time"), F.col("at").alias("insert_time")
+    )
+    aliases = once.select(F.col("anonymous_id").alias("alias_id"), F.col("x.target").alias("profile_id"), "x.external_id", "project_id", F.col("x.at").alias("insert_time"))
+    return rows.unionByName(buried), aliases
+
+
+def frozen_scope(tables, any_id: str) -> tuple[DataFrame, DataFrame]:
+    """The ids of a person, and (project_id, session_id) of their sessions: written down before anything is deleted, so that a second try deletes the same."""
+    ids, path = resolve(tables, any_id), new_path(tables.events.sparkSession, "scope")
+    ids.write.parquet(f"{path}/ids")
+    spark = tables.events.sparkSession
+    ids = spark.read.schema("distinct_id string").parquet(f"{path}/ids")
+    own = tables.events.join(F.broadcast(ids), "distinct_id", "left_semi").where(F.col("session_id") != ZERO)
+    own.select("project_id", "session_id").distinct().write.parquet(f"{path}/sessions")
+    return ids, spark.read.schema("project_id string, session_id string").parquet(f"{path}/sessions")
+
+
+def erase(tables, any_id: str, sessions: DataFrame | None = None, activity: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What stays of each table once a person is erased: the session rollup and activity too, if given; event rollups are exempt."""
+    ids, theirs = frozen_scope(tables, any_id)
+    out = {
         "events": delete_ids(tables.events, ids),
         "profiles": tables.profiles.join(ids, F.col("id") == F.col("distinct_id"), "left_anti"),
         "aliases": tables.aliases.join(ids, F.col("alias_id") == F.col("distinct_id"), "left_anti").join(ids, F.col("profile_id") == F.col("distinct_id"), "left_anti"),
     }
+    if sessions is not None:
+        out["sessions"] = sessions.join(theirs, ["project_id", "session_id"], "left_anti").select(*sessions.columns)
+    if activity is not None:
+        out["activity"] = delete_ids(activity, ids)
+    return out

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meridio.functions import props
-from meridio.operators.trends import breakdown_names, fold_top_n, session_metric
-from meridio.plans.spec import TOPK_DEFAULT, EventQuery, Request
+from meridio.operators.trends import breakdown_names, fold_top_n, session_metric, top_values
+from meridio.plans.spec import DEFAULT_TOP_N, TOPK_DEFAULT, EventQuery, Request
+from meridio.sources.shared import new_path, replace
 
 TOTAL = "$__total__"
 #: Promoted properties that the event rollup has, and those of the session rollup.
@@ -20,8 +21,8 @@ EVENT_DIMS = (
     "$utmCampaign", "$pathname", "$hostname", "$referrerDomain", "$channel", "$locale", "$screenSize", "$utmTerm", "$utmContent",
 )
 SESSION_DIMS = (
-    "$country", "$region", "$city", "$browser", "$os", "$device", "$utmSource", "$utmMedium", "$utmCampaign", "$pathname", "$hostname",
-    "$referrerDomain", "$channel", "$locale", "$screenSize", "$platform",
+    "$url", "$country", "$region", "$city", "$os", "$browser", "$device", "$platform", "$utmSource", "$utmMedium", "$utmCampaign", "$pathname",
+    "$referrerDomain", "$channel", "$utmTerm", "$utmContent",
 )
 
 
@@ -39,6 +40,24 @@ def merge_event_rollup(*parts: DataFrame) -> DataFrame:
     return out.groupBy("project_id", "kind", "day", "dim", "dim_value", "cookieless", "distinct_id").agg(F.sum("n").alias("n"))
 
 
+def store(events: DataFrame, folder: str, event_dims: tuple[str, ...] = EVENT_DIMS, session_dims: tuple[str, ...] = SESSION_DIMS) -> None:
+    """Write both rollups: a folder for each dimension of the one, so that a query reads its own; the other sorted by start."""
+    event_rollup(events, event_dims).sortWithinPartitions("dim", "kind", "day").write.partitionBy("dim").parquet(f"{folder}/event_rollup")
+    session_rollup(events, session_dims).sortWithinPartitions("kind", "start_time").write.parquet(f"{folder}/session_rollup")
+
+
+def rebuild(events: DataFrame, folder: str, event_dims: tuple[str, ...] = EVENT_DIMS, session_dims: tuple[str, ...] = SESSION_DIMS) -> None:
+    """Both rollups and the lists of names and keys anew from all events, in the place of what folder holds."""
+    from meridio.operators import discovery
+
+    spark = events.sparkSession
+    draft = new_path(spark, "rebuilt")
+    store(events, draft, event_dims, session_dims)
+    event_names(events).write.parquet(f"{draft}/event_names")
+    discovery.key_buckets(events).write.parquet(f"{draft}/property_keys")
+    replace(spark, draft, folder)
+
+
 def sketched(rollup: DataFrame) -> DataFrame:
     """The rollup without ids: n and a sketch of them for each cell."""
     return rollup.groupBy("project_id", "kind", "day", "dim", "dim_value", "cookieless").agg(F.sum("n").alias("n"), F.hll_sketch_agg("distinct_id").alias("users"))
@@ -99,20 +118,35 @@ def trends(rollup: DataFrame, r: Request) -> DataFrame:
     spec = r.spec
     names = breakdown_names(len(spec.breakdowns))
     cells = _cells(rollup, r, spec.breakdowns[0] if names else TOTAL).withColumn("t", props.bucket(F.col("day").cast("timestamp"), r.granularity))
-    out = None
+    keys = ["t", F.col("kind").alias("event_kind"), *[F.col("dim_value").alias(n) for n in names]]
+    each, out = [], None
     for i, e in enumerate(spec.events or (EventQuery(),)):
         rows = cells.where(F.col("kind") == e.kind) if e.kind else cells
         if e.aggregation != "total" and not spec.include_cookieless:
             rows = rows.where(~F.col("cookieless"))
-        keys = ["t", F.col("kind").alias("event_kind"), *[F.col("dim_value").alias(n) for n in names]]
-        part = rows.groupBy(*keys).agg(_aggregate(e.aggregation, spec.include_cookieless).alias("value")).withColumn("event_index", F.lit(i))
+        each.append((rows, _aggregate(e.aggregation, spec.include_cookieless).alias("value")))
+        part = rows.groupBy(*keys).agg(each[i][1]).withColumn("event_index", F.lit(i))
         out = part if out is None else out.unionByName(part)
     out = out.select("t", "event_index", "event_kind", *names, "value")
     if len(spec.events) > 1:  # a row of 0 for every event in a cell that any event has
         index = F.array(*[F.struct(F.lit(i).alias("event_index"), F.lit(e.kind).alias("event_kind")) for i, e in enumerate(spec.events)])
         grid = out.select("t", *names).distinct().select("t", *names, F.inline(index))
         out = grid.join(out, ["t", "event_index", "event_kind", *names], "left").select("t", "event_index", "event_kind", *names, F.coalesce("value", F.lit(0.0)).alias("value"))
-    return fold_top_n(out, spec) if names else out
+    return merged_others(out, each, keys, spec) if names else out
+
+
+def merged_others(out: DataFrame, each: list, keys: list, spec) -> DataFrame:
+    """The values of highest total of each event, and the rest as one: counted over its rows, so a user of several values of it counts once."""
+    top = F.broadcast(top_values(out, spec))  # as many rows as the request's events, kinds and limit allow
+    is_top = F.coalesce("__top", F.lit(False))
+    name = F.when(is_top, F.col("breakdown_0")).otherwise(F.lit(props.OTHERS)).alias("breakdown_0")
+    grid = out.join(top, ["event_index", "event_kind", "breakdown_0"], "left").select("t", "event_index", "event_kind", name, is_top.alias("kept")).distinct()
+    found = None
+    for i, (rows, value) in enumerate(each):
+        marked = rows.select("*", *keys[1:]).join(top.where(F.col("event_index") == i).drop("event_index"), ["event_kind", "breakdown_0"], "left")
+        part = marked.groupBy("t", "event_kind", name, is_top.alias("kept")).agg(value).withColumn("event_index", F.lit(i))
+        found = part if found is None else found.unionByName(part)
+    return grid.join(found, ["t", "event_index", "event_kind", "breakdown_0", "kept"], "left").groupBy("t", "event_index", "event_kind", "breakdown_0").agg(F.sum(F.coalesce("value", F.lit(0.0))).alias("value"))
 
 
 def segmentation(rollup: DataFrame, r: Request) -> DataFrame:

@@ -57,13 +57,18 @@ def multi_event(tables, r: Request) -> DataFrame:
     return cells.select("t", *names, F.inline(each)).select("t", "event_index", "event_kind", *names, "value")
 
 
-def fold_top_n(rows: DataFrame, spec, keys: tuple[str, ...] = ("event_index", "event_kind")) -> DataFrame:
-    """Per series, the N breakdown values of highest total stay; the others are summed by bucket as $others."""
+def top_values(rows: DataFrame, spec, keys: tuple[str, ...] = ("event_index", "event_kind")) -> DataFrame:
+    """keys, breakdowns and __top: per series, the N breakdown values of highest total."""
     names, n = breakdown_names(len(spec.breakdowns)), spec.breakdown_limit or DEFAULT_TOP_N
     totals = rows.groupBy(*keys, *names).agg(F.sum("value").alias("__total"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__total"), *names))
-    top = totals.withColumn("__rank", rank).where(F.col("__rank") <= n).select(*keys, *names, F.lit(True).alias("__top"))
-    marked = rows.join(top, [*keys, *names], "left")
+    return totals.withColumn("__rank", rank).where(F.col("__rank") <= n).select(*keys, *names, F.lit(True).alias("__top"))
+
+
+def fold_top_n(rows: DataFrame, spec, keys: tuple[str, ...] = ("event_index", "event_kind")) -> DataFrame:
+    """Per series, the N breakdown values of highest total stay; the others are summed by bucket as $others."""
+    names = breakdown_names(len(spec.breakdowns))
+    marked = rows.join(F.broadcast(top_values(rows, spec, keys)), [*keys, *names], "left")  # N rows a series
     folded = [F.when(F.col("__top"), F.col(c)).otherwise(F.lit(props.OTHERS)).alias(c) for c in names]
     return marked.groupBy("t", *keys, *folded).agg(F.sum("value").alias("value"))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import UTC, datetime, time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meridio.operators import funnel, retention, rollups, topk, trends, user_flow
 from meridio.plans.spec import Request, validate
@@ -17,6 +18,15 @@ class Rollups:
     events: DataFrame | None = None
     sessions: DataFrame | None = None
 
+    def of_project(self, project: str) -> Rollups:
+        own = lambda df: df if df is None or not project else df.where(F.col("project_id") == project)
+        return Rollups(own(self.events), own(self.sessions))
+
+
+def stored(spark: SparkSession, folder: str) -> Rollups:
+    """The rollups that rollups.store wrote."""
+    return Rollups(spark.read.parquet(f"{folder}/event_rollup"), spark.read.parquet(f"{folder}/session_rollup"))
+
 
 def aligned(r: Request) -> bool:
     """The window is whole UTC days, or runs to now."""
@@ -56,7 +66,7 @@ def session_rollup_answers(r: Request) -> bool:
 def execute(tables: Tables, r: Request, with_rollups: Rollups | None = None) -> DataFrame:
     """The request's result, lazily."""
     validate(r)
-    s, have = r.spec, with_rollups or Rollups()
+    s, have, tables = r.spec, (with_rollups or Rollups()).of_project(r.project), tables.of_project(r.project)
     if have.events is not None and event_rollup_answers(r):
         return {"trends": rollups.trends, "segmentation": rollups.segmentation, "top_k": rollups.top_k}[s.type](have.events, r)
     if have.sessions is not None and session_rollup_answers(r):

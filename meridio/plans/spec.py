@@ -98,6 +98,7 @@ class Request:
     granularity: str = "day"
     timezone: str = ""
     now: datetime | None = field(default=None)
+    project: str = ""  # empty: the tables are of one project
 
     def with_window(self, start: datetime, end: datetime) -> Request:
         return replace(self, start=start, end=end)

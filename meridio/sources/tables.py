@@ -18,6 +18,11 @@ class Tables:
     profiles: DataFrame | None = None
     aliases: DataFrame | None = None
 
+    def of_project(self, project: str) -> Tables:
+        """The rows of one project; all rows where none is named."""
+        own = lambda df: df if df is None or not project else df.where(F.col("project_id") == project)
+        return Tables(own(self.events), own(self.profiles), own(self.aliases))
+
 
 def canonical(df: DataFrame) -> DataFrame:
     """df with every canonical column that it lacks, empty."""
@@ -96,8 +101,8 @@ def driver_profiles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 def latest(log: DataFrame, key: str) -> DataFrame:
     """The last row of each key of a log; ties by the whole row are of equal rows only in their order."""
-    w = Window.partitionBy("project_id", key).orderBy(F.desc("insert_time"), *[F.desc(c) for c in log.columns if c not in ("properties", "insert_time", "project_id", key)])
-    return log.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    order = F.struct("insert_time", *[c for c in log.columns if c not in ("properties", "insert_time", "project_id", key)])
+    return log.groupBy("project_id", key).agg(F.max_by(F.struct(*log.columns), order).alias("__row")).select("__row.*")
 
 
 def write_events(events: DataFrame, path: str) -> None:
