@@ -8,14 +8,16 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meridio.functions import enrich, props
-from meridio.operators import discovery, people, rollups, topk
-from meridio.plans.router import Rollups, execute
+from meridio.functions import enrich, promoted, props
+from meridio.operators import discovery, identity, people, rollups, topk
+from meridio.plans.router import Rollups, execute, stored
 from meridio.plans.spec import EventQuery as E
 from meridio.plans.spec import FilterGroup as G
 from meridio.plans.spec import PropertyFilter as P
 from meridio.plans.spec import Request, SessionQuery, Spec, TopKQuery, UserFlowQuery
-from meridio.sources.tables import Tables, driver_events, driver_orders, driver_profiles
+from meridio.sources.shared import new_path
+from meridio.sources.tables import Tables, canonical, driver_events, driver_orders, driver_profiles
+from meridio.streaming import profiles, stitch
 
 FROM, TO = datetime(2024, 1, 1), datetime(2024, 2, 1)
 #: Sessions of the test events end after a day without any, since users are rarely active twice in an hour.
@@ -137,7 +139,7 @@ STEPS = ("view", "signup", "purchase")
 
 
 def funnel_sql(w: int, extra: str = "", by: str = "''") -> str:
-    return f"""{CO}, r AS (SELECT uid, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, ts, event_id, country, CASE kind WHEN 'view' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS step FROM co WHERE {WINDOW} AND kind IN ('view', 'signup', 'purchase')),
+    return f"""{CO}, r AS (SELECT uid, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, ts, event_id, country, CASE kind WHEN 'view' THEN 0 WHEN 'signup' THEN 1 ELSE 2 END AS step FROM co WHERE {WINDOW} AND kind IN ('view', 'signup', 'purchase') {extra}),
     a AS (SELECT *, CASE WHEN step = 0 THEN sec END AS s0 FROM r),
     b AS (SELECT *, max(s0) OVER (PARTITION BY uid ORDER BY sec, step, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r0 FROM a),
     c AS (SELECT *, CASE WHEN step = 1 AND sec - r0 <= {w} THEN r0 END AS s1 FROM b),
@@ -155,10 +157,38 @@ insight("funnel_topn", Spec("funnel", steps, ("$country",), 3, conversion_window
     SELECT step, event_kind, CASE WHEN b IN (SELECT b FROM top) THEN b ELSE '$others' END AS breakdown_0, sum(value) AS value FROM counted GROUP BY 1, 2, 3""", country=True)
 
 
-@query("funnel_step_timing")
-def funnel_step_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Request(Spec("funnel", steps, conversion_window=7 * 86400, step_timing=True), FROM, TO)
-    return execute(Tables(driver_events(spark, sf_dir)), r).withColumn("histogram", F.to_json("histogram"))
+def timing_sql(w: int, by: str = "''", last: str = "") -> str:
+    """Counts as funnel_sql, with the times between the steps of each user's first chain."""
+    bars = ["sec < 30", "sec >= 30 AND sec < 120", "sec >= 120 AND sec < 300", "sec >= 300 AND sec < 900", "sec >= 900 AND sec < 3600", "sec >= 3600 AND sec < 21600", "sec >= 21600 AND sec < 86400", "sec >= 86400"]
+    histogram = "'[' || concat_ws(',', " + ", ".join(f"count(*) FILTER (WHERE {b})" for b in bars) + ") || ']'"
+    return f"""{funnel_sql(w, by=by)}, tm AS (SELECT uid, step, event_id, country, epoch_us(date_trunc('millisecond', ts)) AS us FROM r),
+    nn AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY us, event_id) AS n FROM tm),
+    f0 AS (SELECT uid, min(n) AS n0, arg_min(us, n) AS u0 FROM nn WHERE step = 0 GROUP BY uid),
+    f1 AS (SELECT * FROM (SELECT f0.uid, n0, u0, min(n) AS n1, arg_min(us, n) AS u1 FROM f0 JOIN nn ON nn.uid = f0.uid AND nn.step = 1 AND n > n0 GROUP BY 1, 2, 3) WHERE u1 - u0 <= {w}000000),
+    f2 AS (SELECT * FROM (SELECT f1.uid, n0, u0, n1, u1, min(n) AS n2, arg_min(us, n) AS u2 FROM f1 JOIN nn ON nn.uid = f1.uid AND nn.step = 2 AND n > n1 GROUP BY 1, 2, 3, 4, 5) WHERE u2 - u0 <= {w}000000),
+    gp AS (SELECT uid, 1 AS step, (u1 - u0) / 1e6 AS sec FROM f1 UNION ALL SELECT uid, 2, (u2 - u1) / 1e6 FROM f2),
+    ti AS (SELECT l.b, gp.step, avg(sec) AS a, quantile_cont(sec, 0.5) AS m, quantile_disc(sec, 0.95) AS p, {histogram} AS h FROM gp JOIN l USING (uid) GROUP BY 1, 2),
+    al AS (SELECT c.step, c.event_kind, c.b, c.value, CASE WHEN c.step > 0 THEN round(coalesce(a, 0), 6) END AS avg_seconds, CASE WHEN c.step > 0 THEN round(coalesce(m, 0), 6) END AS median_seconds,
+        CASE WHEN c.step > 0 THEN round(coalesce(p, 0), 6) END AS p95_seconds, CASE WHEN c.step > 0 THEN coalesce(h, '[0,0,0,0,0,0,0,0]') END AS histogram FROM counted c LEFT JOIN ti ON ti.b = c.b AND ti.step = c.step)"""
+
+
+def timed(spark: SparkSession, sf_dir: str, breakdowns=(), limit=0) -> DataFrame:
+    r = Request(Spec("funnel", steps, breakdowns, limit, conversion_window=7 * 86400, step_timing=True), FROM, TO)
+    out = execute(Tables(driver_events(spark, sf_dir, country=bool(breakdowns))), r).withColumn("histogram", F.to_json("histogram"))
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_seconds", "median_seconds", "p95_seconds")})
+
+
+query("funnel_step_timing", f"WITH {timing_sql(7 * 86400)} SELECT * EXCLUDE (b) FROM al")(timed)
+query("funnel_timing_topn", f"""WITH {timing_sql(7 * 86400, "country")}, top AS (SELECT b FROM counted WHERE step = 0 ORDER BY value DESC, b LIMIT 3)
+    SELECT step, event_kind, b AS breakdown_0, value, avg_seconds, median_seconds, p95_seconds, histogram FROM al WHERE b IN (SELECT b FROM top)
+    UNION ALL SELECT step, event_kind, '$others', sum(value), NULL, NULL, NULL, NULL FROM al WHERE b NOT IN (SELECT b FROM top) GROUP BY 1, 2""")(lambda spark, sf_dir: timed(spark, sf_dir, ("$country",), 3))
+
+
+@query("project_isolation", f"WITH {funnel_sql(86400, 'AND value < 50')} SELECT step, event_kind, value FROM counted")
+def project_isolation(spark, sf_dir):
+    """Users with events in two projects: those of one only are matched."""
+    events = driver_events(spark, sf_dir).withColumn("project_id", F.when(props.prop_number("value") < 50, "low").otherwise("high"))
+    return execute(Tables(events), Request(Spec("funnel", steps, conversion_window=86400), FROM, TO, project="low"))
 
 
 # retention
@@ -239,11 +269,12 @@ def profile_stats(spark, sf_dir):
     return people.stats(people_tables(spark, sf_dir), "7").select("first_seen", "last_seen", "events", "latest_country")
 
 
-@query("persons_union_anon", f"WITH {EV} SELECT CAST(c_custkey AS VARCHAR) AS id, true AS identified FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT DISTINCT uid, false FROM ev WHERE user_id % 2 <> 0")
+@query("persons_union_anon", f"WITH {EV} SELECT CAST(c_custkey AS VARCHAR) AS id, true AS identified FROM customer UNION ALL SELECT DISTINCT CASE WHEN k < 10 THEN 'device-' || uid ELSE uid END, false FROM ev WHERE k < 10 OR user_id NOT IN (SELECT c_custkey FROM customer)")
 def persons_union_anon(spark, sf_dir):
+    """Events of small k come from devices that nobody was identified on."""
     t = people_tables(spark, sf_dir)
-    known = Tables(t.events, t.profiles.where(F.col("id").cast("long") % 2 == 0), t.aliases.where(F.col("profile_id").cast("long") % 2 == 0))
-    return people.persons(known).select("id", "identified")
+    device = F.when(props.prop_number("k") < 10, F.concat(F.lit("device-"), "distinct_id")).otherwise(F.col("distinct_id"))
+    return people.persons(Tables(t.events.withColumn("distinct_id", device), t.profiles, t.aliases)).select("id", "identified")
 
 
 @query("profile_activity", f"WITH {EV} SELECT CAST(c_custkey AS VARCHAR) AS id, min(ts) AS first_seen, max(ts) AS last_seen, count(ts) AS total_events FROM customer LEFT JOIN ev ON user_id = c_custkey GROUP BY 1")
@@ -272,9 +303,29 @@ def property_values(spark, sf_dir):
     return discovery.property_values(Tables(driver_events(spark, sf_dir)), "k", TO)
 
 
-@query("profile_keys", "SELECT 'segment' AS key, 'string' AS value_type, count(c_mktsegment) AS count FROM customer")
+@query("profile_keys", "SELECT 'segment' AS key, 'string' AS value_type, count(c_mktsegment) AS count FROM customer UNION ALL SELECT 'balance', 'double', count(c_acctbal) FROM customer")
 def profile_keys(spark, sf_dir):
-    return discovery.profile_keys(driver_profiles(spark, sf_dir)[0]).where("key = 'segment'")
+    return discovery.profile_keys(driver_profiles(spark, sf_dir)[0])
+
+
+DEEP = 6
+
+
+@query("profile_keys_deep", f"SELECT '{'a.' * DEEP}segment' AS key, 'string' AS value_type, count(c_mktsegment) AS count FROM customer UNION ALL SELECT 'tags', 'other', count(*) FROM customer")
+def profile_keys_deep(spark, sf_dir):
+    profiles = driver_profiles(spark, sf_dir)[0]
+    inner = F.concat(F.lit('{"a":' * DEEP + '{"segment":'), F.to_json(F.array(F.get_json_object(F.to_json("properties"), "$.segment"))).substr(F.lit(2), F.lit(1000)))
+    document = F.concat(F.regexp_replace(inner, r"\]$", ""), F.lit("}" * (DEEP + 1)))
+    return discovery.profile_keys(profiles.withColumn("properties", F.parse_json(F.concat(F.regexp_replace(document, r"\}$", ""), F.lit(',"tags":[{"b":"}"}]}')))))
+
+
+@query("schema_keys", f"""WITH {CO}, pk(key) AS (VALUES ('$country'), ('$region'), ('$city'), ('$browser'), ('$browserVersion'), ('$os'), ('$osVersion'), ('$device'), ('$platform'), ('$url'), ('$utmSource'),
+    ('$utmMedium'), ('$utmCampaign'), ('$pathname'), ('$hostname'), ('$referrer'), ('$referrerDomain'), ('$channel'), ('$locale'), ('$screenSize'), ('$utmTerm'), ('$utmContent'), ('$pageTitle'))
+    SELECT key, 'string' AS value_type, CASE WHEN key = '$country' THEN (SELECT count(*) FROM co WHERE country <> '') WHEN key = '$browser' THEN (SELECT count(k) FROM ev) ELSE 0 END AS count FROM pk
+    UNION ALL SELECT 'value', 'double', count(value) FROM events UNION ALL SELECT 'k', 'int', count(*) FROM events""")
+def schema_keys(spark, sf_dir):
+    keys = discovery.property_keys(discovery.key_buckets(driver_events(spark, sf_dir)))
+    return discovery.schema(keys, stored_rollups(spark, sf_dir).events)
 
 
 # rollups
@@ -285,11 +336,29 @@ def event_cells(spark, sf_dir):
     return rollups.event_rollup(driver_events(spark, sf_dir, country=True), DIMS)
 
 
+_folders: dict[tuple, str] = {}
+
+
+def rollup_events(spark, sf_dir):
+    """Events with countries, sessions, and k as the browser: a dimension of which users have several values."""
+    return driver_events(spark, sf_dir, country=True, session_gap=GAP).withColumn("browser", props.prop_string("k"))
+
+
+def stored_rollups(spark, sf_dir) -> Rollups:
+    """The rollups, written once in a session and read by every query."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _folders:
+        folder = new_path(spark, "rollups")
+        rollups.store(rollup_events(spark, sf_dir), folder, (*DIMS, "$browser"), DIMS)
+        _folders[at] = folder
+    return stored(spark, _folders[at])
+
+
 def on_rollup(spec: Spec, granularity: str = "day"):
     def run(spark, sf_dir):
         tables = Tables(driver_events(spark, sf_dir, country=True))
         r = Request(spec, FROM, TO, granularity, now=datetime(2024, 3, 1))
-        return execute(tables, r, Rollups(events=event_cells(spark, sf_dir))).drop("event_index")
+        return execute(tables, r, stored_rollups(spark, sf_dir)).drop("event_index")
 
     return run
 
@@ -302,6 +371,10 @@ query("rollup_trends", SQL["trends_breakdown_topn_others"])(on_rollup(Spec("tren
 query("rollup_trends_unique_week", series("CAST(count(DISTINCT uid) AS DOUBLE)", "kind = 'purchase'", WEEK))(on_rollup(Spec("trends", (E("purchase", aggregation="unique_users"),)), "week"))
 query("rollup_segmentation", SQL["segmentation_unique_or_events"])(on_rollup(Spec("segmentation", (E("view", aggregation="unique_users"), E("purchase")))))
 query("rollup_topk", SQL["topk_property_others"])(on_rollup(topq(property="$country", limit=5)))
+query("rollup_unique_users_others", f"""WITH {EV}, cells AS (SELECT {day()} AS t, CAST(k AS VARCHAR) AS b, count(DISTINCT uid) AS n FROM ev WHERE {WINDOW} AND kind = 'purchase' GROUP BY 1, 2),
+    top AS (SELECT b FROM cells GROUP BY b ORDER BY sum(n) DESC, b LIMIT 4)
+    SELECT {day()} AS t, kind AS event_kind, CASE WHEN CAST(k AS VARCHAR) IN (SELECT b FROM top) THEN CAST(k AS VARCHAR) ELSE '$others' END AS breakdown_0, CAST(count(DISTINCT uid) AS DOUBLE) AS value
+    FROM ev WHERE {WINDOW} AND kind = 'purchase' GROUP BY 1, 2, 3""")(on_rollup(Spec("trends", (E("purchase", aggregation="unique_users"),), ("$browser",), 4)))
 
 
 def sessions_of(spark, sf_dir):
@@ -316,7 +389,7 @@ query("rollup_session_build", f"WITH {SE} SELECT sid AS session_id, s AS start_t
 @query("rollup_session_trends", SQL["sessions_entry_country"])
 def rollup_session_trends(spark, sf_dir):
     r = Request(Spec("trends", breakdowns=("$country",), breakdown_limit=5, session=SessionQuery("entry")), FROM, TO)
-    return execute(Tables(driver_events(spark, sf_dir, True, GAP)), r, Rollups(sessions=sessions_of(spark, sf_dir))).drop("event_index")
+    return execute(Tables(driver_events(spark, sf_dir, True, GAP)), r, stored_rollups(spark, sf_dir)).drop("event_index")
 
 
 @query("cookieless_exclusion", f"WITH {EV} SELECT {day()} AS t, 0 AS event_index, 'view' AS event_kind, CAST(count(DISTINCT uid) FILTER (WHERE kind = 'view' AND user_id % 3 <> 0) AS DOUBLE) AS value FROM ev WHERE {WINDOW} AND kind IN ('view', 'purchase') GROUP BY 1 UNION ALL SELECT {day()}, 1, 'purchase', CAST(count(*) FILTER (WHERE kind = 'purchase') AS DOUBLE) FROM ev WHERE {WINDOW} AND kind IN ('view', 'purchase') GROUP BY 1")
@@ -339,12 +412,82 @@ def channel_classify(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", found.alias("channel"))
 
 
-@query("attribution_derive")
+URL_SQL = """SELECT *, regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) AS source FROM pages"""
+
+
+@query("attribution_derive", f"SELECT page_id, CASE WHEN path = '' THEN '/' ELSE url_decode(path) END AS pathname, lower(host) AS hostname, source AS utm_source, 'google.com' AS referrer_domain, 'Organic Search' AS channel FROM ({URL_SQL})")
 def attribution_derive(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.lit("https://www.google.com/search").alias("referrer"))
     return enrich.derive(pages).select("page_id", "pathname", "hostname", "utm_source", "referrer_domain", "channel")
 
 
+def client_events(spark, sf_dir):
+    """Pages as events, of whose automatic properties a client has sent some that only the server sets."""
+    sent = {"$url": F.col("url"), "$referrer": F.lit("https://www.google.com/search"), "$channel": F.lit("Forged"), "$referrerDomain": F.lit("forged.example"), "$hostname": F.lit(""), "$locale": F.lit(" en_us "), "$plan": F.lit("pro")}
+    auto = F.map_from_arrays(F.array(*map(F.lit, [*sent, "$screenWidth", "$screenHeight", "$city"])), F.array(*[c.cast("variant") for c in sent.values()], *[F.lit(n).cast("bigint").cast("variant") for n in (640, 480, 7)]))
+    return canonical(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("event_id"), F.lit("u").alias("distinct_id"), F.lit("page_view").alias("kind"), F.lit(FROM).cast("timestamp").alias("occur_time"), auto.alias("auto")))
+
+
+@query("attribution_policy", f"SELECT CAST(page_id AS VARCHAR) AS event_id, lower(host) AS hostname, 'Organic Search' AS channel, 'google.com' AS referrer_domain, 'en-US' AS locale, '640x480' AS screen_size, 4 AS kept, 'pro' AS plan, '7' AS city FROM ({URL_SQL})")
+def attribution_policy(spark, sf_dir):
+    """Derived at ingest, then promoted: the wrong-typed city, the plan and the screen's sides stay in the map."""
+    done = promoted.split(enrich.attribute(client_events(spark, sf_dir)))
+    return done.select("event_id", "hostname", "channel", "referrer_domain", "locale", "screen_size", F.size("auto").alias("kept"), props.prop_string("$plan").alias("plan"), props.variant_string(F.col("auto")["$city"]).alias("city"))
+
+
+@query("promoted_remerge", f"SELECT CAST(page_id AS VARCHAR) AS event_id, url, lower(host) AS hostname, 'en-US' AS locale, 14 + CAST(source <> '' AS INTEGER) + CAST(regexp_matches(url, '[?&]utm_medium=[^&#]') AS INTEGER) + CAST(regexp_matches(url, '[?&]utm_campaign=[^&#]') AS INTEGER) AS n FROM ({URL_SQL})")
+def promoted_remerge(spark, sf_dir):
+    """What an explorer shows of a stored event: the columns back in the map."""
+    done = promoted.split(enrich.attribute(client_events(spark, sf_dir).withColumn("mobile", F.lit(True)))).withColumn("bot_score", F.lit(7).cast("short"))
+    text = lambda k: props.variant_string(F.col("auto")[k])
+    return done.withColumn("auto", promoted.merged(done)).select("event_id", text("$url").alias("url"), text("$hostname").alias("hostname"), text("$locale").alias("locale"), F.size("auto").alias("n"))
+
+
+# identity at ingest
+@query("session_stitch", f"""WITH {EV}, gaps AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY uid ORDER BY ts, event_id) > {GAP}000000 THEN 1 ELSE 0 END AS g FROM ev),
+    num AS (SELECT *, sum(g) OVER (PARTITION BY uid ORDER BY ts, event_id) AS s FROM gaps) SELECT 'cookieless-' || uid AS distinct_id, min(ts) AS start_time, count(*) AS events FROM num GROUP BY uid, s""")
+def session_stitch(spark, sf_dir):
+    events = driver_events(spark, sf_dir).withColumn("distinct_id", F.concat(F.lit(props.COOKIELESS), "distinct_id"))
+    return stitch.sessions(events, GAP).groupBy("distinct_id", "session_id").agg(F.min("occur_time").alias("start_time"), F.count("*").alias("events")).drop("session_id")
+
+
+@query("identify_profiles", """SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS external_id, c_mktsegment AS segment, 'yes' AS asked, 'x' AS was, 0 AS is_deleted FROM customer
+    UNION ALL SELECT 'a-' || c_custkey, '', NULL, NULL, 'x', 1 FROM customer""")
+def identify_profiles(spark, sf_dir):
+    """Every customer is identified on a device that had a profile of its own."""
+    known, _ = driver_profiles(spark, sf_dir)
+    device = known.withColumns({"id": F.concat(F.lit("a-"), "id"), "external_id": F.lit(""), "properties": F.parse_json(F.lit('{"was":"x","segment":"device"}'))})
+    asked = known.select("project_id", "external_id", F.concat(F.lit("a-"), "id").alias("anonymous_id"), F.parse_json(F.lit('{"asked":"yes"}')).alias("properties"), F.lit(TO).cast("timestamp").alias("at"))
+    rows, _ = identity.identify_all(Tables(None, known.unionByName(device)), asked)
+    text = lambda k: F.nullif(F.try_variant_get("properties", f"$.{k}", "string"), F.lit("device")).alias(k)
+    return rows.select("id", "external_id", text("segment"), text("asked"), text("was"), "is_deleted")
+
+
+@query("erase_person", f"""WITH {SE} SELECT 'events' AS name, count(*) AS n FROM ev WHERE uid <> '7' UNION ALL SELECT 'profiles', count(*) FROM customer WHERE c_custkey <> 7 UNION ALL SELECT 'aliases', count(*) FROM customer WHERE c_custkey <> 7
+    UNION ALL SELECT 'sessions', count(DISTINCT sid) FROM se WHERE uid <> '7' UNION ALL SELECT 'activity', count(DISTINCT uid) FROM ev WHERE uid <> '7'""")
+def erase_person(spark, sf_dir):
+    t = Tables(driver_events(spark, sf_dir, True, GAP), *driver_profiles(spark, sf_dir))
+    left = identity.erase(t, "anon-7", sessions_of(spark, sf_dir).where("kind = ''"), rollups.activity_states(t.events))
+    out = None
+    for name, rows in left.items():
+        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("profile_pipeline", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS external_id, c_mktsegment AS segment FROM customer")
+def profile_pipeline(spark, sf_dir):
+    """Customers as upsert messages through the stream to the log, and the latest profiles read back."""
+    path = new_path(spark, "profiles")
+    at = F.lit(FROM).cast("timestamp")
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    sent = c.select(F.col("c_custkey").cast("string").alias("id"), F.lit("p1").alias("project_id"), F.col("c_name").alias("external_id"), F.to_json(F.struct(F.col("c_mktsegment").alias("segment"))).alias("properties"), F.lit(False).alias("is_deleted"), at.alias("create_time"), at.alias("update_time"))
+    sent.write.parquet(f"{path}/in")
+    profiles.maintain(spark.readStream.schema(sent.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state").awaitTermination()
+    live = identity.live_profiles(Tables(None, profiles.read_profiles(spark, f"{path}/out/profiles")))
+    return live.select("id", "external_id", F.try_variant_get("properties", "$.segment", "string").alias("segment"))
+
+
 @query("locale_normalize", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'en-US' WHEN 1 THEN 'zh-Hans-CN' ELSE '' END AS locale FROM customer")
 def locale_normalize(spark, sf_dir):
     raw = F.element_at(F.array(F.lit(" EN_us "), F.lit("zh-hANS_cn"), F.lit("  ")), (F.col("c_custkey") % 3 + 1).cast("int"))
@@ -353,12 +496,8 @@ def locale_normalize(spark, sf_dir):
 
 # streaming
 def stream_of(spark, sf_dir):
-    """The events table as a stream: a copy of its rows in the shared or temporary folder is read once."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """The events table as a stream: a copy of its rows in the shared folder is read once."""
+    path = new_path(spark, "stream")
     rows = driver_events(spark, sf_dir, country=True).drop("custom", "auto")
     rows.write.parquet(f"{path}/in")
     return spark.readStream.schema(rows.schema).parquet(f"{path}/in"), path
@@ -374,7 +513,7 @@ def stream_rollup_equals_batch(spark, sf_dir):
     return merged.groupBy("kind", "day", "dim", "dim_value").agg(F.sum("n").alias("n"), F.count("*").alias("users"))
 
 
-@query("stream_closed_buckets")
+@query("stream_closed_buckets", f"WITH {EV} SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, kind, count(*) AS count FROM ev GROUP BY 1, 2 HAVING time_bucket(INTERVAL 5 MINUTE, min(ts)) + INTERVAL 5 MINUTE <= (SELECT max(ts) FROM ev) - INTERVAL 5 MINUTE")
 def stream_closed_buckets(spark, sf_dir):
     from meridio.streaming import ingest
 
@@ -384,7 +523,7 @@ def stream_closed_buckets(spark, sf_dir):
     return spark.read.schema("bucket timestamp, kind string, count long").parquet(f"{path}/out")
 
 
-@query("dashboard_render")
+@query("dashboard_render", f"WITH {EV} SELECT 'views' AS tile, CAST(count(DISTINCT {day()}) AS BIGINT) AS n_rows, CAST(NULL AS VARCHAR) AS error FROM ev WHERE {WINDOW} AND kind = 'view' UNION ALL SELECT 'funnel', CAST(CASE WHEN count(*) > 0 THEN 3 ELSE 0 END AS BIGINT), NULL FROM ev WHERE {WINDOW} AND kind = 'view' UNION ALL SELECT 'broken', NULL, 'SpecError: funnel needs at least one event'")
 def dashboard_render(spark, sf_dir):
     from meridio.operators import dashboards
 
