@@ -36,15 +36,18 @@ def levels(tables, r: Request) -> DataFrame:
     """
     n, names, w = len(r.spec.events), breakdown_names(len(r.spec.breakdowns)), window_seconds(r)
     rows = step_events(tables, r).withColumn("step", F.explode("steps")).withColumn("sec", F.unix_seconds("occur_time"))
-    before = Window.partitionBy("distinct_id").orderBy("sec", "step", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of one second and step are alike here: a user of very many events has a row for each second and step at most
+    touch = F.min(F.struct("occur_time", "event_id", *names)).alias("touch")
+    rows = rows.groupBy("distinct_id", "sec", "step").agg(touch) if names else rows.select("distinct_id", "sec", "step").distinct()
+    before = Window.partitionBy("distinct_id").orderBy("sec", "step").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("s0", F.when(F.col("step") == 0, F.col("sec")))
     for k in range(1, n):
         run = F.max(f"s{k - 1}").over(before)
         rows = rows.withColumn(f"s{k}", F.when((F.col("step") == k) & (F.col("sec") - run <= w), run))
     reached = [F.when(F.max(f"s{k}").isNotNull(), k + 1).otherwise(0) for k in range(n)]
-    first = [F.min_by(c, F.struct("occur_time", "event_id")).alias(c) for c in names]
     level = F.greatest(*reached) if n > 1 else reached[0]
-    return rows.groupBy("distinct_id").agg(level.alias("level"), *first)
+    out = rows.groupBy("distinct_id").agg(level.alias("level"), *([F.min("touch").alias("touch")] if names else []))
+    return out.select("distinct_id", "level", *[F.col(f"touch.{c}").alias(c) for c in names])
 
 
 def counts(tables, r: Request) -> DataFrame:
@@ -71,24 +74,24 @@ def matched_times(tables, r: Request) -> DataFrame:
     """distinct_id, times: occur_time (microseconds) of each matched step, from the first event of step 0 on.
 
     A greedy matcher of its own: a user's rows in order, each taking the first step that it matches;
-    a row that matches the next step later than the window after the anchor ends the match.
+    a row that matches the next step later than the window after the anchor ends the match. The row
+    of each step is the least one after that of the step before: windows over one partitioning,
+    which spill, so that no user's rows need fit in memory.
     """
-    names, w = breakdown_names(len(r.spec.breakdowns)), window_seconds(r) * 1_000_000
+    n, names, w = len(r.spec.events), breakdown_names(len(r.spec.breakdowns)), window_seconds(r) * 1_000_000
     timed = levels(tables, r).where("level > 1").select("distinct_id")  # the others have no time between steps
-    rows = step_events(tables, r).join(timed, "distinct_id", "left_semi").withColumn("step", F.element_at("steps", 1)).withColumn("us", F.unix_micros(F.date_trunc("millisecond", "occur_time")))
+    rows = step_events(tables, r).join(timed, "distinct_id", "left_semi").withColumn("step", F.element_at("steps", 1))
+    rows = rows.withColumn("at", F.struct(F.unix_micros(F.date_trunc("millisecond", "occur_time")).alias("us"), "event_id", "step"))
+    user, step = Window.partitionBy("distinct_id"), F.col("step")
+    rows = rows.withColumn("m0", F.min(F.when(step == 0, F.col("at"))).over(user))
+    for k in range(1, n):
+        next_ = F.min(F.when((step == k) & (F.col("at") > F.col(f"m{k - 1}")), F.col("at"))).over(user)
+        rows = rows.withColumn("m", next_)
+        late = (F.lit(w) > 0) & (F.col("m.us") - F.col("m0.us") > w)
+        rows = rows.withColumn(f"m{k}", F.when(~late, F.col("m")))
     first = [F.min_by(c, F.struct("occur_time", "event_id")).alias(c) for c in names]
-    users = rows.groupBy("distinct_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "step"))).alias("rows"), *first)
-    start = F.struct(F.array().cast("array<bigint>").alias("times"), F.lit(False).alias("over"))
-
-    def step(state: Column, row: Column) -> Column:
-        times = state["times"]
-        next_ = row["step"] == F.size(times)
-        late = next_ & (F.size(times) > 0) & (F.lit(w) > 0) & (row["us"] - F.get(times, F.lit(0)) > w)
-        return F.when(state["over"] | ~next_, state).otherwise(
-            F.when(late, F.struct(times.alias("times"), F.lit(True).alias("over"))).otherwise(F.struct(F.concat(times, F.array(row["us"])).alias("times"), F.lit(False).alias("over")))
-        )
-
-    return users.select("distinct_id", *names, F.aggregate("rows", start, step)["times"].alias("times"))
+    users = rows.groupBy("distinct_id").agg(*[F.any_value(f"m{k}.us").alias(f"u{k}") for k in range(n)], *first)
+    return users.select("distinct_id", *names, F.array_compact(F.array(*[f"u{k}" for k in range(n)])).alias("times"))
 
 
 def bucket_of(seconds: Column) -> Column:
