@@ -89,9 +89,9 @@ def matched_times(tables, r: Request) -> DataFrame:
         rows = rows.withColumn("m", next_)
         late = (F.lit(w) > 0) & (F.col("m.us") - F.col("m0.us") > w)
         rows = rows.withColumn(f"m{k}", F.when(~late, F.col("m")))
-    first = [F.min_by(c, F.struct("occur_time", "event_id")).alias(c) for c in names]
-    users = rows.groupBy("distinct_id").agg(*[F.any_value(f"m{k}.us").alias(f"u{k}") for k in range(n)], *first)
-    return users.select("distinct_id", *names, F.array_compact(F.array(*[f"u{k}" for k in range(n)])).alias("times"))
+    touch = F.min(F.struct("occur_time", "event_id", *names)).alias("touch")  # as in levels(), ties too
+    users = rows.groupBy("distinct_id").agg(*[F.any_value(f"m{k}.us").alias(f"u{k}") for k in range(n)], touch)
+    return users.select("distinct_id", *[F.col(f"touch.{c}").alias(c) for c in names], F.array_compact(F.array(*[f"u{k}" for k in range(n)])).alias("times"))
 
 
 def bucket_of(seconds: Column) -> Column:
