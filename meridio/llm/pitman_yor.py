@@ -1,16 +1,18 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-The restaurant of a context serves the next token. Contexts are the endings of the token before
-(its last byte, in CLASSES classes); all share one parent, the restaurant without context, whose
-parent is uniform over the known tokens and one for all unknown ones. Customers are exact counts
-over the whole training corpus. Seating is sampled by Gibbs: in a sweep, the customers of a token in
+The restaurant of a context serves the next token. A context is the whole word before (one more stands
+before the first word); each has a restaurant of its own, and all share one parent, the restaurant
+without context, whose parent is uniform over the known tokens and one for all unknown ones. Customers
+are exact counts of pairs over the whole training corpus; no pair and no context is left out. A context
+is kept by the 64-bit hash of its word. Seating is sampled by Gibbs: in a sweep, the customers of a token in
 a restaurant get up and are seated again, each at a new table with the probability that the other
-tables and the parent give, and the tables become the parent's customers. Tokens are independent
-given the tables' totals, so a sweep runs over the vocabulary in parallel, with the totals of the
-sweep before. Predictive probabilities are averaged over the sweeps after the first BURN.
+tables and the parent give, and the tables become the parent's customers. Cells are independent
+given the tables' totals, so a sweep runs over all of them in parallel, with the totals of the sweep
+before. A customer who is alone with a dish in a restaurant has one table in every seating, so such
+cells stay as they are and count in the totals. Predictive probabilities are averaged over the sweeps after the first BURN.
 
-Every token of every text is scored. The most frequent tokens, HEAD at most, are looked up in a
-broadcast table of that many rows; all others are joined by token.
+Every token of every text is scored. The most frequent pairs, HEAD at most, are looked up in a
+broadcast table of that many rows; all others are joined by pair, word and context.
 
 Defined results: a null or empty text is its end alone; without training texts every token has
 probability 1 (one unknown outcome); rows equal in doc_id and text are scored alike and all come
@@ -19,51 +21,44 @@ back; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import operator
 from collections import Counter
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridio.llm.common import drop_path, remainder, small_batches, write_table
+from meridio.llm.common import drop_path, new_path, remainder, small_batches, write_table
 
-CLASSES = 24
 BURN, SAMPLES = 1, 2
 DISCOUNT, STRENGTH = 0.75, 5.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
-#: Rows of the broadcast table; entries that a task counts before it passes on those of few customers, under OFTEN.
+#: Rows of a broadcast table; entries that a task counts before it passes on those of few customers, under OFTEN.
 HEAD, HELD, OFTEN = 1 << 16, 400_000, 3
-END = b""
-
-# last bytes: punctuation one by one, frequent letters one by one, the rest together
-_ALONE = b"!$&%*#|.,aeionrstd"
-CLASS_OF = np.full(256, len(_ALONE), np.int8)
-for _i, _b in enumerate(_ALONE):
-    CLASS_OF[_b] = _i
-for _b in b"0123456789":
-    CLASS_OF[_b] = len(_ALONE) + 1
-for _b in range(128, 256):
-    CLASS_OF[_b] = len(_ALONE) + 2 + (_b & 1)
-START = len(_ALONE) + 4
-_MARKS = [bytes([k]) for k in CLASS_OF.tolist()]
+#: No word is empty or a space: the token after the last word, and the context of the first.
+END, START = b"", b" "
 
 
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def marks(words: list[bytes]) -> list[bytes]:
-    """contexts() as bytes: put before a token, one makes a short key of both."""
-    return [bytes([START]), *[_MARKS[w[-1]] for w in words]]
+def context(word: bytes) -> int:
+    """As Spark's xxhash64 of the word."""
+    x = xxhash.xxh64_intdigest(word, 42)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def contexts(words: list[bytes]) -> list[int]:
-    """The class that each token and the end follow."""
-    return [m[0] for m in marks(words)]
+    """The context that each token and the end follow."""
+    return [context(w) for w in (START, *words)]
+
+
+def batch_of(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -73,21 +68,21 @@ def counts(docs: DataFrame) -> DataFrame:
         held: Counter = Counter()
 
         def out(found):
-            return pd.DataFrame({"word": [x[1:] for x in found], "k": np.array([x[0] for x in found], np.int32), "n": np.fromiter(found.values(), np.int64, len(found))})
+            return batch_of(word=pa.array([w for _, w in found], pa.binary()), k=np.fromiter((context(u) for u, _ in found), np.int64, len(found)), n=np.fromiter(found.values(), np.int64, len(found)))
 
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 words = tokens(text)
-                held.update(map(operator.add, marks(words), [*words, END]))
-            if len(held) > HELD:
-                often = {x: n for x, n in held.items() if n >= OFTEN}  # summed over the whole task
-                often = often if 2 * len(often) < HELD else {}
-                yield out({x: n for x, n in held.items() if n < OFTEN} if often else held)
-                held = Counter(often)
+                held.update(zip([START, *words], [*words, END], strict=True))
+                if len(held) > HELD:
+                    often = {x: n for x, n in held.items() if n >= OFTEN}  # summed over the whole task
+                    often = often if 2 * len(often) < HELD else {}
+                    yield out({x: n for x, n in held.items() if n < OFTEN} if often else held)
+                    held = Counter(often)
         if held:
             yield out(held)
 
-    return docs.select("text").mapInPandas(run, "word binary, k int, n long")
+    return docs.select("text").mapInArrow(run, "word binary, k long, n long")
 
 
 def seat(c: np.ndarray, base: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -108,269 +103,262 @@ def seat(c: np.ndarray, base: np.ndarray, discount: float, rng) -> np.ndarray:
     return np.minimum(t, c)
 
 
-#: A token's restaurants as bytes: context, customers, tables, and the averaged part of its probability.
-CELL = np.dtype([("k", "<i4"), ("c", "<i8"), ("t", "<i8"), ("p", "<f8")])
-#: Rows without a word carry a task's sums in tot: customers and tables by context, tables of the root, tokens, rows.
-STATE = "word binary, c long, cells binary, t0 long, p0s binary, tot array<double>"
-WIDTH = CLASSES + 8
-
-
-def unpack(cells) -> tuple[np.ndarray, np.ndarray]:
-    """All cells of a batch end to end, and the number of each row's."""
-    sizes = np.fromiter((len(x) for x in cells), np.int64, len(cells)) // CELL.itemsize
-    return np.frombuffer(b"".join(cells), CELL).copy(), sizes
-
+#: A cell as bytes: context, customers, tables; the last field is not used.
+CELL = np.dtype([("k", ">i8"), ("c", ">i8"), ("t", ">i8"), ("p", ">f8")])
+#: Kinds of a state's rows. ONE: a cell of one customer, for good. MORE: a cell of more; n1: cells of one customer in its restaurant; x0, ...:
+#: tables at the samples. DISH: a word's c customers, n1 cells of one customer, t tables in all restaurants (the root's customers),
+#: t0 tables in the root; x0, ...: the root's probability at the samples. A row of a cell has t0 1.
+ONE, MORE, DISH = 0, 1, 2
+_X = [f"x{j}" for j in range(SAMPLES)]
+_MORE, _DISH = ["word", "k", "c", "t", "n1", *_X], ["word", "c", "n1", "t", "t0", *_X]
 
-def repack(values: np.ndarray, sizes: np.ndarray, width: int) -> list[bytes]:
-    data, ends = values.tobytes(), (np.cumsum(sizes) * width).tolist()
-    return [data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
+def schema_of(names: list[str]) -> str:
+    return ", ".join(f"{n} {'binary' if n == 'word' else 'double' if n in _X else 'long'}" for n in names)
 
-def first_state(counted: DataFrame) -> DataFrame:
-    """One row a token: its customers, and one table in each restaurant."""
-    # of a frequent word come CLASSES rows of each task at most, whose partial sums counts() keeps
-    cells = counted.repartition("word").groupBy("word", "k").agg(F.sum("n").alias("n"))
-    rows = cells.groupBy("word").agg(F.sum("n").alias("c"), F.sort_array(F.collect_list(F.struct("k", "n"))).alias("x"))  # CLASSES cells at most
 
-    def pack(batches):
-        sums = Sums()
-        for batch in batches:
-            if not len(batch):
-                continue
-            sizes = np.fromiter((len(x) for x in batch["ks"]), np.int64, len(batch))
-            cells = np.zeros(int(sizes.sum()), CELL)
-            cells["k"], cells["c"], cells["t"] = np.concatenate(batch["ks"].to_list()), np.concatenate(batch["cs"].to_list()), 1
-            sums.add(cells, np.ones(len(batch)), batch["c"])
-            yield batch[["word", "c"]].assign(cells=repack(cells, sizes, CELL.itemsize), t0=1, p0s=b"", tot=None)
-        yield sums.row()
+def state_of(ones: DataFrame, more: DataFrame, dishes: DataFrame) -> DataFrame:
+    """All cells and dishes; a filter by kind reads only the tables of that kind."""
+    one, none = F.lit(1).cast("long"), F.lit(None)
+    digits = F.concat(*[F.lpad(F.hex(x), 16, "0") for x in ("k", "c", "t")], F.lit("0" * 16))
+    parts = []
+    for kind, df in ((ONE, ones.withColumns({"c": one, "t": one, "n1": none.cast("long"), **{x: none.cast("double") for x in _X}})), (MORE, more), (DISH, dishes.withColumn("k", none.cast("long")))):
+        parts.append(df.select(F.lit(kind).alias("kind"), *_MORE, F.col("t0") if kind == DISH else one.alias("t0"), (F.unhex(F.lit("")) if kind == DISH else F.unhex(digits)).alias("cells")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-    return rows.select("word", "c", F.col("x.k").alias("ks"), F.col("x.n").alias("cs")).mapInPandas(pack, STATE)
 
+def cells_of(counted: DataFrame) -> tuple[DataFrame, str]:
+    """word, k, c, many (c > 1), cells of one customer in files of their own."""
+    spark = counted.sparkSession
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")  # else rows are sorted first
+    path = new_path(spark, "cells")
+    counted.groupBy("word", "k").agg(F.sum("n").alias("c")).withColumn("many", F.col("c") > 1).write.partitionBy("many").parquet(path)
+    spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
+    return spark.read.schema("word binary, k long, c long, many boolean").parquet(path), path
 
-class Sums:
-    """What a task adds to the totals."""
 
-    def __init__(self):
-        self.tot = np.zeros(2 * WIDTH + 3)
+def release(spark) -> None:
+    """Shuffle files go when the driver collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
 
-    def add(self, cells, t0, c):
-        self.tot[:WIDTH] += np.bincount(cells["k"], cells["c"], WIDTH)
-        self.tot[WIDTH : 2 * WIDTH] += np.bincount(cells["k"], cells["t"], WIDTH)
-        self.tot[-3:] += t0.sum(), c.sum(), len(c)
 
-    def row(self):
-        return pd.DataFrame({"word": [None], "c": [0], "cells": [None], "t0": [0], "p0s": [None], "tot": [self.tot]})
+def first_state(cells: DataFrame, rooms: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One table for each dish in each restaurant. rooms: customers and cells of one customer by context."""
+    nothing = [F.lit(None).cast("double").alias(x) for x in _X]
+    one = F.lit(1).cast("long")
+    more, a = write_table(cells.where("many").join(rooms.select("k", "n1"), "k").select("word", "k", "c", one.alias("t"), "n1", *nothing), "seating")
+    counted = cells.groupBy("word").agg(F.sum("c").alias("c"), F.count_if(~F.col("many")).alias("n1"), F.count("*").alias("t"))
+    dishes, b = write_table(counted.select("word", "c", "n1", "t", one.alias("t0"), *nothing), "seating")
+    return state_of(cells.where("not many").select("word", "k"), more, dishes), [a, b]
 
 
 def totals(state: DataFrame) -> dict:
-    """Customers and tables of every restaurant."""
-    rows = state.where("word is null").select(F.posexplode("tot").alias("i", "x")).groupBy("i").agg(F.sum("x")).collect()
-    x = np.zeros(2 * WIDTH + 3)
-    for i, v in rows:
-        x[i] = v
-    return {"c": x[:WIDTH], "t": x[WIDTH : 2 * WIDTH], "c0": float(x[WIDTH : 2 * WIDTH].sum()), "t0": x[-3], "n": x[-2], "v": x[-1]}
+    """Customers and tables of the root, tokens, words."""
+    r = state.where(F.col("kind") == DISH).agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("t", "t0", "c")], F.count("*")).first()
+    return dict(zip(("c0", "t0", "n", "v"), map(float, r), strict=True))
 
 
-def predictive(total: dict):
-    """The parent's probability of an unknown token, and for each context the share that goes to the parent."""
-    unknown = (ROOT_STRENGTH + ROOT_DISCOUNT * total["t0"]) / (ROOT_STRENGTH + total["c0"]) / (total["v"] + 1)
-    back = (STRENGTH + DISCOUNT * total["t"]) / (STRENGTH + total["c"])
-    return unknown, back
+def unknown_probability(total: dict) -> float:
+    return (ROOT_STRENGTH + ROOT_DISCOUNT * total["t0"]) / (ROOT_STRENGTH + total["c0"]) / (total["v"] + 1)
 
 
 def root_probability(c0, t0, total: dict):
-    return (c0 - ROOT_DISCOUNT * t0) / (ROOT_STRENGTH + total["c0"]) + predictive(total)[0]
+    return (c0 - t0 * ROOT_DISCOUNT) / (ROOT_STRENGTH + total["c0"]) + unknown_probability(total)
 
 
-def sampled(cells, row, t0, p0s, total: dict):
-    """Add a seating's predictive probabilities: the parent's to p0s, each restaurant's own part to its cell."""
-    p0 = root_probability(np.bincount(row, cells["t"], len(t0)), t0, total)
-    cells["p"] += (cells["c"] - DISCOUNT * cells["t"]) / (STRENGTH + total["c"][cells["k"]]) / SAMPLES
-    added = repack(p0.astype("<f8"), np.ones(len(p0), np.int64), 8)
-    return [a + b for a, b in zip(p0s, added, strict=True)]
+def sampled(df: DataFrame, last) -> DataFrame:
+    """With one more sample after those that are there."""
+    return df.withColumns({x: F.col(y) for x, y in zip(_X, _X[1:], strict=False)} | {_X[-1]: last.cast("double")})
 
 
-def restaurants(state: DataFrame) -> DataFrame:
-    """The rows of tokens, without the list of totals: the size of an Arrow batch is taken after each row, and a list column makes
-    that a walk over the batch's rows, in all their square."""
-    return state.where("word is not null").drop("tot")
+def kinds(state: DataFrame, total: dict, sample: bool) -> tuple[DataFrame, DataFrame]:
+    """The cells of more customers and the dishes, the seating added to their samples if asked."""
+    more, dishes = state.where(F.col("kind") == MORE).select(_MORE), state.where(F.col("kind") == DISH).select(_DISH)
+    return (sampled(more, F.col("t")), sampled(dishes, root_probability(F.col("t"), F.col("t0"), total))) if sample else (more, dishes)
 
 
 def sweep(state: DataFrame, total: dict, seed: int, sample: bool) -> DataFrame:
-    """One Gibbs sweep over all restaurants, a block of tokens at a time; the seating before it is added to the average if asked."""
+    """One Gibbs sweep over all restaurants, then over the root; the seating before it is added to the samples if asked.
 
-    def run(batches):
-        sums = Sums()
-        for batch in batches:
-            if not len(batch):
+    The new tables are written; their paths are total's "written"."""
+    small_batches(state.sparkSession, 20_000)
+    root = {x: total[x] for x in ("c0", "t0", "n", "v")}
+    more, dishes = kinds(state, root, sample)
+
+    def restaurants(batches):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            rng = np.random.default_rng([seed, xxhash.xxh64_intdigest(bytes(batch["word"].iloc[0])), len(batch)])
-            cells, sizes = unpack(batch["cells"])
-            row, n = np.repeat(np.arange(len(batch)), sizes), len(batch)
-            t0, p0s = batch["t0"].to_numpy(np.float64), batch["p0s"]
-            if sample:
-                p0s = sampled(cells, row, t0, p0s, total)
+            c, t, tk, c0, t0 = (b.column(x).to_numpy(zero_copy_only=False) for x in ("c", "t", "tk", "c0", "t0"))
+            rng = np.random.default_rng([seed, b.column("k")[0].as_py() % (1 << 63), b.num_rows])
             # the dish's own tables in a restaurant get up, from it and from the parent
-            rest = np.maximum(np.bincount(row, cells["t"], n)[row] - cells["t"], 0)
-            parent = root_probability(rest, np.minimum(t0[row], rest), total)
-            base = (STRENGTH + DISCOUNT * np.maximum(total["t"][cells["k"]] - cells["t"], 0)) * parent
-            cells["t"] = seat(cells["c"], base, DISCOUNT, rng)
-            c0 = np.bincount(row, cells["t"], n).astype(np.int64)
-            own = (ROOT_STRENGTH + ROOT_DISCOUNT * np.maximum(total["t0"] - t0, 0)) / (total["v"] + 1)
-            t0 = seat(c0, own, ROOT_DISCOUNT, rng)
-            sums.add(cells, t0, batch["c"])
-            yield batch[["word", "c"]].assign(cells=repack(cells, sizes, CELL.itemsize), t0=t0, p0s=p0s, tot=None)
-        yield sums.row()
-
-    return restaurants(state).mapInPandas(run, STATE)
+            rest = np.maximum(c0 - t, 0)
+            base = (STRENGTH + DISCOUNT * np.maximum(tk - t, 0)) * root_probability(rest, np.minimum(t0, rest), root)
+            yield batch_of(**{x: seat(c, base, DISCOUNT, rng) if x == "t" else b.column(x) for x in _MORE})
 
-
-def averaged(state: DataFrame, total: dict) -> DataFrame:
-    """The model's table, with the last seating added: word, c, ks, p0s, cell."""
-
-    def run(batches):
-        for batch in batches:
-            if not len(batch):
+    def parent(batches):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            cells, sizes = unpack(batch["cells"])
-            row = np.repeat(np.arange(len(batch)), sizes)
-            p0s = sampled(cells, row, batch["t0"].to_numpy(np.float64), batch["p0s"], total)
-            at = np.cumsum(sizes)[:-1]
-            p0 = np.frombuffer(b"".join(p0s), "<f8").reshape(len(batch), -1)
-            yield batch[["word", "c"]].assign(ks=np.split(cells["k"], at), p0s=list(p0), cell=np.split(cells["p"], at))
+            c0, t0 = (b.column(x).to_numpy(zero_copy_only=False) for x in ("t", "t0"))
+            rng = np.random.default_rng([seed, xxhash.xxh64_intdigest(b.column("word")[0].as_py()), b.num_rows])
+            own = (ROOT_STRENGTH + ROOT_DISCOUNT * np.maximum(root["t0"] - t0, 0)) / (root["v"] + 1)
+            yield batch_of(**{x: seat(c0, own, ROOT_DISCOUNT, rng) if x == "t0" else b.column(x) for x in _DISH})
 
-    return restaurants(state).mapInPandas(run, "word binary, c long, ks array<int>, p0s array<double>, cell array<double>")
+    rooms = more.groupBy("k").agg((F.sum("t") + F.max("n1")).alias("tk"))
+    asked = more.join(rooms, "k").join(dishes.select("word", F.col("t").alias("c0"), "t0"), "word").select(*_MORE, "tk", "c0", "t0")
+    seated, a = write_table(asked.mapInArrow(restaurants, schema_of(_MORE)), "seating")
+    tables = dishes.join(seated.groupBy("word").agg(F.sum("t").alias("m")), "word", "left").withColumn("t", F.col("n1") + F.coalesce("m", F.lit(0)))
+    served, b = write_table(tables.select(_DISH).mapInArrow(parent, schema_of(_DISH)), "seating")
+    total["written"] = [a, b]
+    return state_of(state.where(F.col("kind") == ONE).select("word", "k"), seated, served)
 
 
 class Model:
-    """table: one row a token; samples: the totals of each averaged sweep."""
+    """cells: word, k, c, own (customers less the discounts, averaged); words: word, c, and the root's probability at each sample;
+    rooms: k, c, and the share that goes to the parent at each sample."""
 
-    def __init__(self, table: DataFrame, samples: list[dict]):
-        self.table, self.samples = table, samples
+    def __init__(self, cells: DataFrame, words: DataFrame, rooms: DataFrame, samples: list[dict]):
+        self.cells, self.words, self.rooms = cells, words, rooms
         self.n, self.v = int(samples[-1]["n"]), int(samples[-1]["v"])
-        self.back = np.stack([predictive(t)[1] for t in samples])  # samples x contexts
-        self.unknown = np.array([predictive(t)[0] for t in samples])
+        self.unknown = np.array([unknown_probability(t) for t in samples])
 
     def base_log(self, c):
-        return np.log10((np.asarray(c, float) + 1) / (self.n + self.v + 1.0))
+        return F.log10((F.coalesce(c, F.lit(0)) + 1) / F.lit(float(self.n + self.v + 1)))
+
+    def log(self, own, room, shares, word):
+        """log10 of a token's probability; own, room, shares, word: null if there is no such cell, restaurant or dish."""
+        parts = [F.coalesce(b, F.lit(1.0)) * F.coalesce(p, F.lit(float(u))) for b, p, u in zip(shares, word, self.unknown, strict=True)]
+        return F.log10(F.coalesce(own, F.lit(0.0)) / (F.coalesce(room, F.lit(0)) + STRENGTH) + sum(parts[1:], parts[0]) / len(parts))
 
-    def unknown_log(self) -> np.ndarray:
-        return np.log10((self.back * self.unknown[:, None]).mean(0))
+    def unknown_log(self):
+        return np.log10(self.unknown.mean())
 
 
 def train(docs: DataFrame, seed: int = 3) -> Model:
     """Fit on all rows of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    counted = counts(docs)
-    small_batches(spark, 2000)  # its input has list columns: see restaurants()
-    state, path = write_table(first_state(counted), "seating")
-    small_batches(spark, 20_000)
+    cells, _ = cells_of(counts(docs))
+    release(spark)
+    rooms, _ = write_table(cells.groupBy("k").agg(F.sum("c").alias("room"), F.count_if(~F.col("many")).alias("n1")), "rooms")
+    state, paths = first_state(cells, rooms)
     total, samples = totals(state), []
     for i in range(BURN + SAMPLES):
-        after, new = write_table(sweep(state, total, seed + i, sample=i > BURN), "seating")
-        drop_path(spark, path)
-        state, path, total = after, new, totals(after)
+        state = sweep(state, total, seed + i, sample=i > BURN)
+        for p in paths:
+            drop_path(spark, p)
+        paths, total = total["written"], totals(state)
+        release(spark)
         if i >= BURN:
             samples.append(total)
-    table, _ = write_table(averaged(state, total), "model")
-    drop_path(spark, path)
-    return Model(table, samples)
+    return averaged(state, rooms, samples)
+
 
+def averaged(state: DataFrame, rooms: DataFrame, samples: list[dict]) -> Model:
+    """The model, with the last seating added."""
+    more, dishes = kinds(state, samples[-1], True)
+    tables = more.groupBy("k").agg(*[F.sum(x).alias(x) for x in _X])
+    share = lambda x: (F.lit(STRENGTH) + (F.col("n1") + F.coalesce(x, F.lit(0.0))) * DISCOUNT) / (F.col("room") + STRENGTH)
+    shares, _ = write_table(rooms.join(tables, "k", "left").select("k", "room", *[share(x).alias(f"share{j}") for j, x in enumerate(_X)]), "model")
+    mean = sum([F.col(x) for x in _X[1:]], F.col(_X[0])) / SAMPLES
+    ones = state.where(F.col("kind") == ONE).select("word", "k", "c", F.lit(1 - DISCOUNT).alias("own"))
+    return Model(ones.unionByName(more.select("word", "k", "c", (F.col("c") - mean * DISCOUNT).alias("own"))), dishes.select("word", F.col("c").alias("customers"), *_X), shares, samples)
 
-def head_from(model: Model) -> float:
-    """The least count, as a step of a sixteenth of its logarithm, from which there are HEAD tokens at most."""
-    step = F.floor(F.log2("c") * 16)
-    sizes = model.table.groupBy(step.alias("step")).count().collect()  # 1,024 steps at most
-    n, least = 0, np.inf
+
+def step(c: str):
+    return F.floor(F.log2(c) * 16)
+
+
+def head_from(table: DataFrame, c: str) -> float:
+    """The least count, as a step of a sixteenth of its logarithm, from which there are HEAD rows at most."""
+    sizes = table.groupBy(step(c).alias("step")).count().collect()  # 1,024 steps at most
+    n, least = 0, float("inf")
     for r in sorted(sizes, reverse=True):
         n += r["count"]
         if n > HEAD:
             break
-        least = r.step
+        least = float(r.step)
     return least
 
 
 def head_of(model: Model) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
-    """The most frequent tokens: their places, counts, and log probabilities by context."""
-    back = model.back
+    """The most frequent words: their places, counts, and log probabilities in the root."""
+    rows = model.words.where(step("customers") >= F.lit(head_from(model.words, "customers"))).collect()  # HEAD rows at most
+    p = np.array([[r[x] for x in _X] for r in rows], float).reshape(-1, SAMPLES).mean(1)
+    return {bytes(r.word): i for i, r in enumerate(rows)}, np.array([r.customers for r in rows], np.int64), np.log10(p)
+
+
+_SHARES = [f"share{j}" for j in range(SAMPLES)]
 
-    def logs(batches):
-        for batch in batches:
-            out = []
-            for ks, p0s, cell in zip(batch["ks"], batch["p0s"], batch["cell"], strict=True):
-                p = (back * np.asarray(p0s)[:, None]).mean(0)
-                p[np.asarray(ks, np.int64)] += cell
-                out.append(np.log10(p).tobytes())
-            yield batch[["word", "c"]].assign(logs=out)
 
-    frequent = model.table.where(F.floor(F.log2("c") * 16) >= F.lit(float(head_from(model))))
-    rows = frequent.mapInPandas(logs, "word binary, c long, logs binary").collect()  # HEAD rows at most
-    place = {bytes(r.word): i for i, r in enumerate(rows)}
-    table = np.frombuffer(b"".join(bytes(r.logs) for r in rows), np.float64).reshape(-1, back.shape[1])
-    return place, np.array([r.c for r in rows], np.int64), table
+def head_pairs(model: Model) -> tuple[dict[tuple[bytes, bytes], int], np.ndarray, np.ndarray]:
+    """The most frequent pairs: their places, and the log probabilities of base and model."""
+    many = model.cells.where("c > 1")
+    head = many.where(step("c") >= F.lit(head_from(many, "c")))
+    words = model.words.join(F.broadcast(head), "word")
+    both = model.rooms.join(F.broadcast(words), "k")
+    names = model.words.select(F.col("word").alias("u")).union(model.words.sparkSession.range(1).select(F.lit(START).alias("u")))
+    rows = names.withColumn("k", F.xxhash64("u")).join(F.broadcast(both), "k")
+    rows = rows.select("u", "word", model.base_log("customers").alias("base"), model.log("own", "room", _SHARES, _X).alias("lm")).collect()  # HEAD rows at most
+    return {(bytes(r.u), bytes(r.word)): i for i, r in enumerate(rows)}, np.array([r.base for r in rows], float), np.array([r.lm for r in rows], float)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10 of the text's probability), one row for each row of docs."""
     spark = docs.sparkSession
+    least = head_from(model.words, "customers")
+    frequent = {START, *head_of(model)[0]}
+    held = spark.sparkContext.broadcast((*head_pairs(model), frequent))
+    release(spark)
     small_batches(spark)
-    place, count, logs = head_of(model)
-    held = spark.sparkContext.broadcast((place, model.base_log(count), logs))
 
     def run(batches):
-        place, base, logs = held.value
+        place, base, lm, frequent = held.value
+        rows = count(TaskContext.get().partitionId() << 33)
         for batch in batches:
-            own, words_out, ks_out, ns_out, sizes = [], [], [], [], []
-            for text, gone in zip(batch["text"], batch["gone"], strict=True):
+            own, sizes, pairs, ns = [], [], [], []
+            for text in batch.column("text").to_pylist():
                 words = tokens(text)
-                h = xxhash.xxh64_intdigest((text or "").encode("utf-8", "replace"), int(gone)) - (1 << 63)
-                ks = marks(words)
-                words.append(END)
-                at = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
-                k = np.frombuffer(b"".join(ks), np.uint8)
-                known = np.flatnonzero(at >= 0)
-                own.append((h, len(words), len(known), float(base[at[known]].sum()), float(logs[at[known], k[known]].sum())))
-                rest = Counter([ks[i] + words[i] for i in np.flatnonzero(at < 0).tolist()])
-                words_out += [x[1:] for x in rest]
-                ks_out += [x[0] for x in rest]
-                ns_out += rest.values()
+                each = list(zip([START, *words], [*words, END], strict=True))
+                at = np.fromiter(map(place.get, each, repeat(-1)), np.int64, len(each))
+                known = at[at >= 0]
+                own.append((next(rows), len(each), len(known), float(base[known].sum()), float(lm[known].sum())))
+                rest = Counter([each[i] for i in np.flatnonzero(at < 0).tolist()])
+                pairs += rest
+                ns += rest.values()
                 sizes.append(len(rest))
             if not own:
                 continue
-            h, *sums = (np.array(x) for x in zip(*own, strict=True))
-            ids, gone, r = batch["doc_id"].to_numpy(np.int64), batch["gone"].to_numpy(np.int32), len(words_out)
-            yield pd.DataFrame({
-                "doc_id": np.r_[ids, np.repeat(ids, sizes)], "h": np.r_[h, np.repeat(h, sizes)], "word": [None] * len(ids) + words_out,
-                "k": np.r_[np.zeros(len(ids), np.int32), np.array(ks_out, np.int32)], "n": np.r_[np.ones(len(ids), np.int32), np.array(ns_out, np.int32)], "gone": np.r_[gone, np.zeros(r, np.int32)],
-                **{name: np.r_[x, np.zeros(r, x.dtype)] for name, x in zip(("n_tokens", "n_known", "base", "lm"), sums, strict=True)},
-            })
-
-    schema = "doc_id long, h long, word binary, k int, n int, gone int, n_tokens long, n_known long, base double, lm double"
-    # a null id is 0 and a mark, so that the column has no null and stays one of longs; texts of marked rows hash apart
-    asked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().cast("int").alias("gone"), "text")
-    rows, _ = write_table(asked.mapInPandas(run, schema), "scores")
-    whole = rows.where("word is null").select("doc_id", "h", F.lit(1).alias("rows"), "gone", "n_tokens", "n_known", "base", "lm")
-    doubles = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
-    k = F.col("k") + 1
-    parts = [F.element_at(doubles(b), k) * F.coalesce(F.element_at("p0s", i + 1), F.lit(float(u))) for i, (b, u) in enumerate(zip(model.back, model.unknown, strict=True))]
-    shared = sum(parts[1:], parts[0]) / len(parts)
-    own = F.coalesce(F.try_element_at(F.map_from_arrays("ks", "cell"), F.col("k")), F.lit(0.0))
-    rare = (
-        rows.where("word is not null")
-        .select("doc_id", "h", "word", "k", "n")
-        .join(model.table, "word", "left")
-        .select(
-            "doc_id", "h", F.lit(0).alias("rows"), F.lit(0).alias("gone"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0).cast("long").alias("n_known"),
-            (F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(model.n + model.v + 1)))).alias("base"), (F.col("n") * F.log10(shared + own)).alias("lm"),
-        )
-    )
-    summed = whole.unionByName(rare).groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("rows", "gone", "n_tokens", "n_known", "base", "lm")])
-    each = summed.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return each.select(
-        F.when(F.col("gone") == 0, F.col("doc_id")).alias("doc_id"), (F.col("n_tokens") / F.col("rows")).cast("long").alias("n_tokens"), (F.col("n_known") / F.col("rows")).cast("long").alias("n_known"),
-        (F.col("base") / F.col("rows")).alias("base_score"), (F.col("lm") / F.col("rows")).alias("score"),
-    )
+            row, n_tokens, n_known, base_sum, lm_sum = (np.array(x) for x in zip(*own, strict=True))
+            none, r = len(own), len(pairs)
+            longer = lambda x: np.r_[x, np.zeros(r, x.dtype)]
+            yield batch_of(
+                row=np.r_[row, np.repeat(row, sizes)], doc_id=pa.concat_arrays([batch.column("doc_id"), pa.nulls(r, pa.int64())]), word=pa.array([None] * none + [w for _, w in pairs], pa.binary()),
+                k=np.r_[np.zeros(none, np.int64), np.fromiter((context(u) for u, _ in pairs), np.int64, r)], n=np.r_[np.ones(none, np.int64), np.array(ns, np.int64)],
+                often=np.r_[np.zeros(none, bool), np.fromiter((u in frequent and w in frequent for u, w in pairs), bool, r)],
+                n_tokens=longer(n_tokens), n_known=longer(n_known), base=longer(base_sum), lm=longer(lm_sum),
+            )
+
+    schema = "row long, doc_id long, word binary, k long, n long, often boolean, n_tokens long, n_known long, base double, lm double"
+    rows, _ = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scores")
+    whole = rows.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "lm")
+    cells = model.cells.select("word", "k", "own")
+    first = F.broadcast(model.words.where(step("customers") >= F.lit(least))), F.broadcast(model.rooms.where((step("room") >= F.lit(least)) | (F.col("k") == context(START))))
+    every = model.words.hint("shuffle_hash"), model.rooms.hint("shuffle_hash")
+    parts = [whole]
+    # pairs of two frequent words, whose tables are broadcast, and the others; a frequent word's count as a context is that as a token
+    for often, (words, rooms) in ((True, first), (False, every)):
+        asked = rows.where("word is not null").where(F.col("often") == often).select("row", "word", "k", "n")
+        found = asked.join(cells, ["word", "k"], "left").join(words, "word", "left").join(rooms, "k", "left")
+        parts.append(
+            found.select(
+                "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("customers").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
+                (F.col("n") * model.base_log("customers")).alias("base"), (F.col("n") * model.log("own", "room", _SHARES, _X)).alias("lm"),
+            ).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")])
+        )
+    summed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")])
+    return summed.select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), F.col("lm").alias("score"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -409,6 +409,17 @@ def test_pitman_yor_scores_against_the_seatings(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
 
 
+def test_pitman_yor_contexts_are_whole_words(spark):
+    """Words that end alike have restaurants of their own: what followed each of them in training is likelier after it."""
+    words = [b"a" * i + b"t" for i in range(200)]
+    assert len(set(pitman_yor.contexts(words))) == len(words) + 1
+    texts = ["cat purrs"] * 40 + ["bat flies"] * 40 + ["rat"] * 10
+    model = pitman_yor.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    asked = ["cat purrs", "cat flies", "bat flies", "bat purrs", "rat purrs", "hat purrs"]
+    got = {r.doc_id: r.score for r in pitman_yor.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()}
+    assert got[0] > got[1] + 1 and got[2] > got[3] + 1 and got[0] > got[4] + 1
+
+
 def test_seating_against_one_customer_after_the_other():
     """The mean number of tables, of customers who come in groups, against customers who come one by one."""
     rng = np.random.default_rng(13)
