@@ -31,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridio.llm.common import drop_path, new_path, remainder, small_batches, write_table
+from meridio.llm.common import drop_path, file_system, new_path, remainder, small_batches, write_table
 
 BURN, SAMPLES = 1, 2
 DISCOUNT, STRENGTH = 0.75, 5.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 #: Rows of a broadcast table; entries that a task counts before it passes on those of few customers, under OFTEN.
 HEAD, HELD, OFTEN = 1 << 16, 400_000, 3
+#: Tables of pairs lie in so many slices by context, and are scored a slice at a time, so that only one is on its way at once.
+SLICES = 4
 #: No word is empty or a space: the token after the last word, and the context of the first.
 END, START = b"", b" "
 
@@ -68,7 +70,9 @@ def counts(docs: DataFrame) -> DataFrame:
         held: Counter = Counter()
 
         def out(found):
-            return batch_of(word=pa.array([w for _, w in found], pa.binary()), k=np.fromiter((context(u) for u, _ in found), np.int64, len(found)), n=np.fromiter(found.values(), np.int64, len(found)))
+            k = np.fromiter((context(u) for u, _ in found), np.int64, len(found))
+            by = np.argsort(k)  # equal ones together take less room
+            return batch_of(word=pa.array([w for _, w in found], pa.binary()).take(pa.array(by)), k=k[by], n=np.fromiter(found.values(), np.int64, len(found))[by])
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
@@ -123,18 +127,29 @@ def state_of(ones: DataFrame, more: DataFrame, dishes: DataFrame) -> DataFrame:
     digits = F.concat(*[F.lpad(F.hex(x), 16, "0") for x in ("k", "c", "t")], F.lit("0" * 16))
     parts = []
     for kind, df in ((ONE, ones.withColumns({"c": one, "t": one, "n1": none.cast("long"), **{x: none.cast("double") for x in _X}})), (MORE, more), (DISH, dishes.withColumn("k", none.cast("long")))):
-        parts.append(df.select(F.lit(kind).alias("kind"), *_MORE, F.col("t0") if kind == DISH else one.alias("t0"), (F.unhex(F.lit("")) if kind == DISH else F.unhex(digits)).alias("cells")))
+        at = F.col("slice") if kind == ONE else F.lit(None).cast("int").alias("slice")  # of the folder
+        parts.append(df.select(F.lit(kind).alias("kind"), *_MORE, at, F.col("t0") if kind == DISH else one.alias("t0"), (F.unhex(F.lit("")) if kind == DISH else F.unhex(digits)).alias("cells")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def cells_of(counted: DataFrame) -> tuple[DataFrame, str]:
-    """word, k, c, many (c > 1), cells of one customer in files of their own."""
-    spark = counted.sparkSession
-    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")  # else rows are sorted first
-    path = new_path(spark, "cells")
-    counted.groupBy("word", "k").agg(F.sum("n").alias("c")).withColumn("many", F.col("c") > 1).write.partitionBy("many").parquet(path)
+def written_in_slices(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """As write_table, in folders by the columns of by and slice: pmod of k, -1 for rows without a word."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", str(4 * SLICES))  # else rows are sorted first
+    path, found = new_path(spark, name), df.withColumn("slice", F.when(F.col("word").isNull(), -1).otherwise(F.pmod("k", F.lit(SLICES))).cast("int"))
+    found.write.partitionBy(*by, "slice").option("compression", "zstd").parquet(path)
     spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
-    return spark.read.schema("word binary, k long, c long, many boolean").parquet(path), path
+    return spark.read.schema(found.schema).parquet(path), path
+
+
+def cells_of(counted: DataFrame) -> DataFrame:
+    """word, k, c, many (c > 1), slice."""
+    return written_in_slices(counted.groupBy("word", "k").agg(F.sum("n").alias("c")).withColumn("many", F.col("c") > 1), "cells", "many")[0]
+
+
+def drop_folder(spark, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
 
 
 def release(spark) -> None:
@@ -146,10 +161,10 @@ def first_state(cells: DataFrame, rooms: DataFrame) -> tuple[DataFrame, list[str
     """One table for each dish in each restaurant. rooms: customers and cells of one customer by context."""
     nothing = [F.lit(None).cast("double").alias(x) for x in _X]
     one = F.lit(1).cast("long")
-    more, a = write_table(cells.where("many").join(rooms.select("k", "n1"), "k").select("word", "k", "c", one.alias("t"), "n1", *nothing), "seating")
+    more, a = write_table(cells.where("many").join(rooms.select("k", "n1").hint("shuffle_hash"), "k").select("word", "k", "c", one.alias("t"), "n1", *nothing), "seating")
     counted = cells.groupBy("word").agg(F.sum("c").alias("c"), F.count_if(~F.col("many")).alias("n1"), F.count("*").alias("t"))
     dishes, b = write_table(counted.select("word", "c", "n1", "t", one.alias("t0"), *nothing), "seating")
-    return state_of(cells.where("not many").select("word", "k"), more, dishes), [a, b]
+    return state_of(cells.where("not many").select("word", "k", "slice"), more, dishes), [a, b]
 
 
 def totals(state: DataFrame) -> dict:
@@ -206,12 +221,12 @@ def sweep(state: DataFrame, total: dict, seed: int, sample: bool) -> DataFrame:
             yield batch_of(**{x: seat(c0, own, ROOT_DISCOUNT, rng) if x == "t0" else b.column(x) for x in _DISH})
 
     rooms = more.groupBy("k").agg((F.sum("t") + F.max("n1")).alias("tk"))
-    asked = more.join(rooms, "k").join(dishes.select("word", F.col("t").alias("c0"), "t0"), "word").select(*_MORE, "tk", "c0", "t0")
+    asked = more.join(rooms.hint("shuffle_hash"), "k").join(dishes.select("word", F.col("t").alias("c0"), "t0").hint("shuffle_hash"), "word").select(*_MORE, "tk", "c0", "t0")
     seated, a = write_table(asked.mapInArrow(restaurants, schema_of(_MORE)), "seating")
-    tables = dishes.join(seated.groupBy("word").agg(F.sum("t").alias("m")), "word", "left").withColumn("t", F.col("n1") + F.coalesce("m", F.lit(0)))
+    tables = dishes.join(seated.groupBy("word").agg(F.sum("t").alias("m")).hint("shuffle_hash"), "word", "left").withColumn("t", F.col("n1") + F.coalesce("m", F.lit(0)))
     served, b = write_table(tables.select(_DISH).mapInArrow(parent, schema_of(_DISH)), "seating")
     total["written"] = [a, b]
-    return state_of(state.where(F.col("kind") == ONE).select("word", "k"), seated, served)
+    return state_of(state.where(F.col("kind") == ONE).select("word", "k", "slice"), seated, served)
 
 
 class Model:
@@ -239,9 +254,10 @@ def train(docs: DataFrame, seed: int = 3) -> Model:
     """Fit on all rows of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    cells, _ = cells_of(counts(docs))
+    cells = cells_of(counts(docs))
     release(spark)
     rooms, _ = write_table(cells.groupBy("k").agg(F.sum("c").alias("room"), F.count_if(~F.col("many")).alias("n1")), "rooms")
+    release(spark)
     state, paths = first_state(cells, rooms)
     total, samples = totals(state), []
     for i in range(BURN + SAMPLES):
@@ -260,10 +276,11 @@ def averaged(state: DataFrame, rooms: DataFrame, samples: list[dict]) -> Model:
     more, dishes = kinds(state, samples[-1], True)
     tables = more.groupBy("k").agg(*[F.sum(x).alias(x) for x in _X])
     share = lambda x: (F.lit(STRENGTH) + (F.col("n1") + F.coalesce(x, F.lit(0.0))) * DISCOUNT) / (F.col("room") + STRENGTH)
-    shares, _ = write_table(rooms.join(tables, "k", "left").select("k", "room", *[share(x).alias(f"share{j}") for j, x in enumerate(_X)]), "model")
+    shares, _ = write_table(rooms.join(tables.hint("shuffle_hash"), "k", "left").select("k", "room", *[share(x).alias(f"share{j}") for j, x in enumerate(_X)]), "model")
     mean = sum([F.col(x) for x in _X[1:]], F.col(_X[0])) / SAMPLES
-    ones = state.where(F.col("kind") == ONE).select("word", "k", "c", F.lit(1 - DISCOUNT).alias("own"))
-    return Model(ones.unionByName(more.select("word", "k", "c", (F.col("c") - mean * DISCOUNT).alias("own"))), dishes.select("word", F.col("c").alias("customers"), *_X), shares, samples)
+    ones = state.where(F.col("kind") == ONE).select("word", "k", "c", F.lit(1 - DISCOUNT).alias("own"), "slice")
+    cells = more.select("word", "k", "c", (F.col("c") - mean * DISCOUNT).alias("own"), F.pmod("k", F.lit(SLICES)).cast("int").alias("slice"))
+    return Model(ones.unionByName(cells), dishes.select("word", F.col("c").alias("customers"), *_X), shares, samples)
 
 
 def step(c: str):
@@ -332,33 +349,51 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 continue
             row, n_tokens, n_known, base_sum, lm_sum = (np.array(x) for x in zip(*own, strict=True))
             none, r = len(own), len(pairs)
+            k = np.fromiter((context(u) for u, _ in pairs), np.int64, r)
+            by = np.argsort(k)
             longer = lambda x: np.r_[x, np.zeros(r, x.dtype)]
             yield batch_of(
-                row=np.r_[row, np.repeat(row, sizes)], doc_id=pa.concat_arrays([batch.column("doc_id"), pa.nulls(r, pa.int64())]), word=pa.array([None] * none + [w for _, w in pairs], pa.binary()),
-                k=np.r_[np.zeros(none, np.int64), np.fromiter((context(u) for u, _ in pairs), np.int64, r)], n=np.r_[np.ones(none, np.int64), np.array(ns, np.int64)],
-                often=np.r_[np.zeros(none, bool), np.fromiter((u in frequent and w in frequent for u, w in pairs), bool, r)],
+                row=np.r_[row, np.repeat(row, sizes)[by]], doc_id=pa.concat_arrays([batch.column("doc_id"), pa.nulls(r, pa.int64())]),
+                word=pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array([w for _, w in pairs], pa.binary()).take(pa.array(by))]), k=np.r_[np.zeros(none, np.int64), k[by]],
+                n=np.r_[np.ones(none, np.int64), np.array(ns, np.int64)[by]], often=np.r_[np.zeros(none, bool), np.fromiter((u in frequent and w in frequent for u, w in pairs), bool, r)[by]],
                 n_tokens=longer(n_tokens), n_known=longer(n_known), base=longer(base_sum), lm=longer(lm_sum),
             )
 
     schema = "row long, doc_id long, word binary, k long, n long, often boolean, n_tokens long, n_known long, base double, lm double"
-    rows, _ = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scores")
-    whole = rows.where("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "lm")
-    cells = model.cells.select("word", "k", "own")
-    first = F.broadcast(model.words.where(step("customers") >= F.lit(least))), F.broadcast(model.rooms.where((step("room") >= F.lit(least)) | (F.col("k") == context(START))))
-    every = model.words.hint("shuffle_hash"), model.rooms.hint("shuffle_hash")
-    parts = [whole]
-    # pairs of two frequent words, whose tables are broadcast, and the others; a frequent word's count as a context is that as a token
-    for often, (words, rooms) in ((True, first), (False, every)):
-        asked = rows.where("word is not null").where(F.col("often") == often).select("row", "word", "k", "n")
-        found = asked.join(cells, ["word", "k"], "left").join(words, "word", "left").join(rooms, "k", "left")
+    rows, path = written_in_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scores")
+    parts = [rows.where("slice = -1").select("row", "doc_id", "n_tokens", "n_known", "base", "lm")]
+    for i in range(SLICES):
+        at = F.col("slice") == i
+        parts.append(write_table(sums(looked_up(rows.where(at), model, model.cells.where(at), model.rooms.where(F.pmod("k", F.lit(SLICES)) == i), least)), "sums")[0])
+        drop_folder(spark, f"{path}/slice={i}")
+        release(spark)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return sums(whole).select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), F.col("lm").alias("score"))
+
+
+def sums(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")])
+
+
+def looked_up(rows: DataFrame, model: Model, cells: DataFrame, rooms: DataFrame, least: float) -> DataFrame:
+    """What each pair adds to its row. Of pairs of two frequent words, words and contexts are broadcast; of the others they are joined.
+
+    A frequent word's count as a context is that as a token."""
+    cells = cells.select("word", "k", "own").hint("shuffle_hash")
+    frequent = F.broadcast(model.words.where(step("customers") >= F.lit(least))), F.broadcast(rooms.where((step("room") >= F.lit(least)) | (F.col("k") == context(START))))
+    every = model.words.hint("shuffle_hash"), rooms.hint("shuffle_hash")
+    parts = []
+    for often, (words, contexts_) in ((True, frequent), (False, every)):
+        found = rows.where(F.col("often") == often).select("row", "word", "k", "n").join(cells, ["word", "k"], "left").join(words, "word", "left").join(contexts_, "k", "left")
         parts.append(
             found.select(
                 "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("customers").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
                 (F.col("n") * model.base_log("customers")).alias("base"), (F.col("n") * model.log("own", "room", _SHARES, _X)).alias("lm"),
-            ).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")])
+            )
         )
-    summed = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")])
-    return summed.select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), F.col("lm").alias("score"))
+    return parts[0].unionByName(parts[1])
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
