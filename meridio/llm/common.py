@@ -1,10 +1,11 @@
-"""Shared helpers: the cluster's shared folder, written tables, connected components."""
+"""Shared helpers: the cluster's shared folder, written tables, models fitted by a worker, connected components."""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(p.getParent(), True)
 
 
+def fitted_apart(sample: DataFrame, fit: Callable[[list[tuple]], object], *columns: str):
+    """What fit makes of a bounded sample's rows in order, one for each value of the first column. A worker gathers and fits: the driver's
+    memory also holds Spark's own, which grows with a session's plans, so it takes the outcome alone."""
+
+    def run(batches):
+        import pandas as pd
+
+        once = {}
+        for batch in batches:
+            for row in batch[list(columns)].itertuples(index=False, name=None):
+                once[row[0]] = max(row, once.get(row[0], row))
+        yield pd.DataFrame({"model": [pickle.dumps(fit([row for _, row in sorted(once.items())]))]})
+
+    row = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(row.model) if row else fit([])  # an empty table may have no task
+
+
 def free_name(columns: Iterable[str], name: str) -> str:
     """The name, with as many underscores at its end as it takes not to be among the columns."""
     taken = {c.lower() for c in columns}

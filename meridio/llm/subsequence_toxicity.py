@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridio.llm.common import free_name, small_batches, train_rows
+from meridio.llm.common import fitted_apart, free_name, small_batches, train_rows
 
 WIDTH = 14
 DECAY = 0.85
@@ -343,8 +343,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
             yield batch[["doc_id", "y"]].assign(spans=["\n".join(sorted({w for t in tokens(x) for w in windows(t)})) for x in batch["text"]])
 
     got = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").mapInPandas(spans, "doc_id long, y int, spans string")
-    once = {r.doc_id: r for r in got.collect()}
-    return fit([(set(r.spans.split("\n")) - {""}, r.y) for _, r in sorted(once.items())])
+
+    def fitted(found):
+        machine = fit([(set(spans.split("\n")) - {""}, y) for _, spans, y in found])
+        return machine.landmarks, machine.weight, machine.bias, machine.scale, machine.shift
+
+    return Machine(*fitted_apart(got, fitted, "doc_id", "spans", "y"))
 
 
 def score_documents(docs: DataFrame, machine: Machine) -> DataFrame:

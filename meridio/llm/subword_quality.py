@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meridio.llm.common import free_name, small_batches, train_rows
+from meridio.llm.common import fitted_apart, free_name, small_batches, train_rows
 
 BITS = 16
 SIZE = 1 << BITS
@@ -172,9 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
             yield batch[["doc_id", "y"]].assign(ids=[g[0].tobytes() for g in got], weights=[g[1].tobytes() for g in got])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").mapInPandas(featurise, "doc_id long, y int, ids binary, weights binary")
-    once = {r.doc_id: r for r in sample.collect()}
-    data = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.weights, np.float32), r.y) for _, r in sorted(once.items())]
-    return fit(data, prior)
+
+    def fitted(found):
+        return fit([(np.frombuffer(ids, np.int32), np.frombuffer(weights, np.float32), y) for _, ids, weights, y in found], prior)
+
+    return fitted_apart(sample, fitted, "doc_id", "ids", "weights", "y")
 
 
 def score_documents(docs: DataFrame, model) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -462,6 +463,18 @@ def test_scores_of_odd_texts(spark):
             assert len(scored) == docs.count() and all(r.score == (0.1 if r.doc_id is None else 0.5) and 0 <= r.score_ <= 1 for r in scored)
 
 
+def test_classifiers_are_fitted_by_a_worker(spark, monkeypatch):
+    """Neither the sample nor the fit's working memory is the driver's; each document is taken once, in order."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in [*range(9, -1, -1), 3]], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(10)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(subword_quality, "fit", lambda rows, prior: (os.getpid(), [y for *_, y in rows]))
+    monkeypatch.setattr(subsequence_toxicity, "fit", lambda bags: subsequence_toxicity.Machine(os.getpid(), [y for _, y in bags], 0, 1, 0))
+    machine = subsequence_toxicity.train(docs, labels)
+    for pid, y in (subword_quality.train(docs, labels), (machine.landmarks, machine.weight)):
+        assert pid != os.getpid()
+        assert y == [i % 2 for i in range(10) if zlib.crc32(str(i).encode()) % 5]
+
+
 def test_quality_reads_on_over_cuts(monkeypatch):
     texts = [None, "", " ", "a", "ab  cd", "\nx y\tz z z", "a" * 300, LONG[:3000], "é漢 " * 50]
     whole = [subword_quality.sparse(t) for t in texts]
