@@ -22,7 +22,7 @@ back; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import count, repeat
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 #: Rows of a broadcast table; entries that a task counts before it passes on those of few customers, under OFTEN.
 HEAD, HELD, OFTEN = 1 << 16, 400_000, 3
 #: Tables of pairs lie in so many slices by context, and are scored a slice at a time, so that only one is on its way at once.
-SLICES = 4
+SLICES = 8
 #: No word is empty or a space: the token after the last word, and the context of the first.
 END, START = b"", b" "
 
@@ -133,18 +133,18 @@ def state_of(ones: DataFrame, more: DataFrame, dishes: DataFrame) -> DataFrame:
 
 
 def written_in_slices(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
-    """As write_table, in folders by the columns of by and slice: pmod of k, -1 for rows without a word."""
+    """As write_table, in folders by the columns of by and slice: that of df, else pmod of k."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", str(4 * SLICES))  # else rows are sorted first
-    path, found = new_path(spark, name), df.withColumn("slice", F.when(F.col("word").isNull(), -1).otherwise(F.pmod("k", F.lit(SLICES))).cast("int"))
+    path, found = new_path(spark, name), df if "slice" in df.columns else df.withColumn("slice", F.pmod("k", F.lit(SLICES)).cast("int"))
     found.write.partitionBy(*by, "slice").option("compression", "zstd").parquet(path)
     spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
     return spark.read.schema(found.schema).parquet(path), path
 
 
-def cells_of(counted: DataFrame) -> DataFrame:
+def cells_of(counted: DataFrame) -> tuple[DataFrame, str]:
     """word, k, c, many (c > 1), slice."""
-    return written_in_slices(counted.groupBy("word", "k").agg(F.sum("n").alias("c")).withColumn("many", F.col("c") > 1), "cells", "many")[0]
+    return written_in_slices(counted.groupBy("word", "k").agg(F.sum("n").alias("c")).withColumn("many", F.col("c") > 1), "cells", "many")
 
 
 def drop_folder(spark, path: str) -> None:
@@ -254,11 +254,12 @@ def train(docs: DataFrame, seed: int = 3) -> Model:
     """Fit on all rows of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    cells = cells_of(counts(docs))
+    cells, written = cells_of(counts(docs))
     release(spark)
-    rooms, _ = write_table(cells.groupBy("k").agg(F.sum("c").alias("room"), F.count_if(~F.col("many")).alias("n1")), "rooms")
+    rooms, room = write_table(cells.groupBy("k").agg(F.sum("c").alias("room"), F.count_if(~F.col("many")).alias("n1")), "rooms")
     release(spark)
     state, paths = first_state(cells, rooms)
+    drop_folder(spark, f"{written}/many=true")  # in the state from now on
     total, samples = totals(state), []
     for i in range(BURN + SAMPLES):
         state = sweep(state, total, seed + i, sample=i > BURN)
@@ -268,7 +269,10 @@ def train(docs: DataFrame, seed: int = 3) -> Model:
         release(spark)
         if i >= BURN:
             samples.append(total)
-    return averaged(state, rooms, samples)
+    model = averaged(state, rooms, samples)
+    drop_path(spark, room)
+    release(spark)
+    return model
 
 
 def averaged(state: DataFrame, rooms: DataFrame, samples: list[dict]) -> Model:
@@ -321,50 +325,68 @@ def head_pairs(model: Model) -> tuple[dict[tuple[bytes, bytes], int], np.ndarray
     return {(bytes(r.u), bytes(r.word)): i for i, r in enumerate(rows)}, np.array([r.base for r in rows], float), np.array([r.lm for r in rows], float)
 
 
+def mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One number for a pair of codes; equal ones are told apart by the codes."""
+    return u * np.int64(-7046029254386353131) + w
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score (log10 of the text's probability), one row for each row of docs."""
+    """doc_id, n_tokens, n_known, base_score, score (log10 of the text's probability), one row for each row of docs.
+
+    A word's code is its place among the frequent ones, or its 64-bit hash. Rows on the way hold codes: no text, and small numbers mostly."""
     spark = docs.sparkSession
-    least = head_from(model.words, "customers")
-    frequent = {START, *head_of(model)[0]}
-    held = spark.sparkContext.broadcast((*head_pairs(model), frequent))
+    places = {w: i for i, w in enumerate([START, *head_of(model)[0]])}
+    pairs, base, lm = head_pairs(model)
+    known = np.array([[places.get(x) if x in places else context(x) for x in p] for p in pairs], np.int64).reshape(-1, 2)
+    by = np.argsort(mixed(*known.T))
+    held = spark.sparkContext.broadcast((places, mixed(*known.T)[by], known[by], base[by], lm[by], np.array([context(w) for w in places], np.int64)))
+    codes, _ = write_table(spark.createDataFrame([(w, context(w), i) for w, i in places.items()], "word binary, k long, code long"), "codes")  # HEAD rows and one at most
     release(spark)
     small_batches(spark)
 
     def run(batches):
-        place, base, lm, frequent = held.value
-        rows = count(TaskContext.get().partitionId() << 33)
+        places, keys, known, base, lm, hashed = held.value
+        rows, n = count(TaskContext.get().partitionId() << 33), len(places)
+
+        class Codes(dict):
+            def __missing__(self, word):
+                return context(word)  # not kept: rare words are many
+
+        code = Codes(places).__getitem__
         for batch in batches:
-            own, sizes, pairs, ns = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = tokens(text)
-                each = list(zip([START, *words], [*words, END], strict=True))
-                at = np.fromiter(map(place.get, each, repeat(-1)), np.int64, len(each))
-                known = at[at >= 0]
-                own.append((next(rows), len(each), len(known), float(base[known].sum()), float(lm[known].sum())))
-                rest = Counter([each[i] for i in np.flatnonzero(at < 0).tolist()])
-                pairs += rest
-                ns += rest.values()
-                sizes.append(len(rest))
-            if not own:
+            texts = [tokens(x) for x in batch.column("text").to_pylist()]
+            if not texts:
                 continue
-            row, n_tokens, n_known, base_sum, lm_sum = (np.array(x) for x in zip(*own, strict=True))
-            none, r = len(own), len(pairs)
-            k = np.fromiter((context(u) for u, _ in pairs), np.int64, r)
-            by = np.argsort(k)
-            longer = lambda x: np.r_[x, np.zeros(r, x.dtype)]
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            first = np.r_[0, np.cumsum(sizes)[:-1]]
+            w = np.fromiter(map(code, chain.from_iterable([*x, END] for x in texts)), np.int64, sizes.sum())
+            u = np.r_[0, w[:-1]]
+            u[first] = places[START]
+            row = np.fromiter(islice(rows, len(texts)), np.int64, len(texts))
+            key = mixed(u, w)
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            found = (known[at, 0] == u) & (known[at, 1] == w) if len(keys) else np.zeros(len(w), bool)
+            sums = [np.add.reduceat(np.where(found, x[at], 0) if len(keys) else np.zeros(len(w)), first) for x in (np.ones(len(keys), np.int64), base, lm)]
+            rest = np.flatnonzero(~found)
+            u, w, r, none = u[rest], w[rest], len(rest), len(texts)
+            placed = (u >= 0) & (u < n)
+            of = np.mod(np.where(placed, hashed[np.where(placed, u, 0)], u), SLICES)
+            longer = lambda x, kind: pa.array(np.r_[x, np.zeros(r, x.dtype)].astype(kind))
             yield batch_of(
-                row=np.r_[row, np.repeat(row, sizes)[by]], doc_id=pa.concat_arrays([batch.column("doc_id"), pa.nulls(r, pa.int64())]),
-                word=pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array([w for _, w in pairs], pa.binary()).take(pa.array(by))]), k=np.r_[np.zeros(none, np.int64), k[by]],
-                n=np.r_[np.ones(none, np.int64), np.array(ns, np.int64)[by]], often=np.r_[np.zeros(none, bool), np.fromiter((u in frequent and w in frequent for u, w in pairs), bool, r)[by]],
-                n_tokens=longer(n_tokens), n_known=longer(n_known), base=longer(base_sum), lm=longer(lm_sum),
+                row=np.r_[row, np.repeat(row, sizes)[rest]], doc_id=pa.concat_arrays([batch.column("doc_id"), pa.nulls(r, pa.int64())]),
+                w=np.r_[np.zeros(none, np.int64), w], u=np.r_[np.zeros(none, np.int64), u], often=np.r_[np.zeros(none, bool), placed & (w >= 0) & (w < n)],
+                n_tokens=longer(sizes, np.int64), n_known=longer(sums[0], np.int64), base=longer(sums[1], float), lm=longer(sums[2], float), slice=np.r_[np.full(none, -1), of].astype(np.int32),
             )
 
-    schema = "row long, doc_id long, word binary, k long, n long, often boolean, n_tokens long, n_known long, base double, lm double"
+    schema = "row long, doc_id long, w long, u long, often boolean, n_tokens long, n_known long, base double, lm double, slice int"
     rows, path = written_in_slices(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "scores")
     parts = [rows.where("slice = -1").select("row", "doc_id", "n_tokens", "n_known", "base", "lm")]
+    words = coded(model.words, codes, "word", "w").select("w", "customers", *_X)
     for i in range(SLICES):
         at = F.col("slice") == i
-        parts.append(write_table(sums(looked_up(rows.where(at), model, model.cells.where(at), model.rooms.where(F.pmod("k", F.lit(SLICES)) == i), least)), "sums")[0])
+        cells = coded(coded(model.cells.where(at), codes, "word", "w"), codes, "k", "u").select("w", "u", "own")
+        rooms = coded(model.rooms.where(F.pmod("k", F.lit(SLICES)) == i), codes, "k", "u").select("u", "room", *_SHARES)
+        parts.append(write_table(sums(looked_up(rows.where(at), model, cells, words, rooms, len(places))), "sums")[0])
         drop_folder(spark, f"{path}/slice={i}")
         release(spark)
     whole = parts[0]
@@ -373,24 +395,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return sums(whole).select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), F.col("lm").alias("score"))
 
 
+def coded(df: DataFrame, codes: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the codes of its words, or of its contexts, which are hashes already."""
+    rare = F.xxhash64(column) if column == "word" else F.col(column)
+    return df.join(F.broadcast(codes.select(column, "code")), column, "left").withColumn(name, F.coalesce("code", rare)).drop("code")
+
+
 def sums(parts: DataFrame) -> DataFrame:
     return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "lm")])
 
 
-def looked_up(rows: DataFrame, model: Model, cells: DataFrame, rooms: DataFrame, least: float) -> DataFrame:
-    """What each pair adds to its row. Of pairs of two frequent words, words and contexts are broadcast; of the others they are joined.
-
-    A frequent word's count as a context is that as a token."""
-    cells = cells.select("word", "k", "own").hint("shuffle_hash")
-    frequent = F.broadcast(model.words.where(step("customers") >= F.lit(least))), F.broadcast(rooms.where((step("room") >= F.lit(least)) | (F.col("k") == context(START))))
-    every = model.words.hint("shuffle_hash"), rooms.hint("shuffle_hash")
+def looked_up(rows: DataFrame, model: Model, cells: DataFrame, words: DataFrame, rooms: DataFrame, n: int) -> DataFrame:
+    """What each pair adds to its row. Of pairs of two frequent words, words and contexts are broadcast; of the others they are joined."""
+    cells = cells.hint("shuffle_hash")
+    frequent = F.broadcast(words.where(F.col("w").between(0, n - 1))), F.broadcast(rooms.where(F.col("u").between(0, n - 1)))
+    every = words.hint("shuffle_hash"), rooms.hint("shuffle_hash")
     parts = []
-    for often, (words, contexts_) in ((True, frequent), (False, every)):
-        found = rows.where(F.col("often") == often).select("row", "word", "k", "n").join(cells, ["word", "k"], "left").join(words, "word", "left").join(contexts_, "k", "left")
+    for often, (words_, contexts_) in ((True, frequent), (False, every)):
+        found = rows.where(F.col("often") == often).select("row", "w", "u").join(cells, ["w", "u"], "left").join(words_, "w", "left").join(contexts_, "u", "left")
         parts.append(
             found.select(
-                "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("customers").isNotNull(), F.col("n")).otherwise(0).alias("n_known"),
-                (F.col("n") * model.base_log("customers")).alias("base"), (F.col("n") * model.log("own", "room", _SHARES, _X)).alias("lm"),
+                "row", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.col("customers").isNotNull().cast("long").alias("n_known"),
+                model.base_log("customers").alias("base"), model.log("own", "room", _SHARES, _X).alias("lm"),
             )
         )
     return parts[0].unionByName(parts[1])

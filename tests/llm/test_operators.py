@@ -410,6 +410,26 @@ def test_pitman_yor_scores_against_the_seatings(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want)
 
 
+def test_pitman_yor_rows_on_the_way_hold_codes(spark, monkeypatch):
+    """Rows that wait for the model hold no text, pairs are told apart by their codes, and tables that are done with are gone."""
+    kinds, paths, written = {}, {}, pitman_yor.written_in_slices
+
+    def recorded(df, name, *by):
+        kinds[name], out = {kind for _, kind in df.dtypes}, written(df, name, *by)
+        paths[name] = out[1]
+        return out
+
+    monkeypatch.setattr(pitman_yor, "written_in_slices", recorded)
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} \u00e9{i % 9}") for i in range(40)], "doc_id long, text string")
+    model = pitman_yor.train(docs)
+    scored = lambda: sorted((r.doc_id, r.n_known, round(r.score, 9)) for r in pitman_yor.score(docs, model).collect())
+    whole = scored()
+    assert len(whole) == 40 and not {"binary", "string"} & kinds["scores"]
+    assert not os.path.exists(paths["cells"].removeprefix("file://") + "/many=true")
+    monkeypatch.setattr(pitman_yor, "mixed", lambda u, w: u * 0)
+    assert scored() == whole
+
+
 def test_pitman_yor_contexts_are_whole_words(spark):
     """Words that end alike have restaurants of their own: what followed each of them in training is likelier after it."""
     words = [b"a" * i + b"t" for i in range(200)]
