@@ -2,6 +2,7 @@
 
 import math
 import os
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -441,6 +442,37 @@ def test_pitman_yor_contexts_are_whole_words(spark):
     assert got[0] > got[1] + 1 and got[2] > got[3] + 1 and got[0] > got[4] + 1
 
 
+def test_pitman_yor_scores_against_the_seatings_in_parts(spark, monkeypatch):
+    """The same with several parts, slices, shards and blocks, where contexts of frequent words lie in more than one part."""
+    for name, n in (("PART_BYTES", 700), ("BLOCK", 60), ("SLICES", 2)):
+        monkeypatch.setattr(pitman_yor, name, n)
+    test_pitman_yor_scores_against_the_seatings(spark, monkeypatch)
+
+
+def test_pitman_yor_moves_blocks_not_pairs(spark, monkeypatch):
+    """Rows on the way are arrays of many pairs: far fewer than there are pairs. A context that all share fills no part."""
+    rows, written = [], pitman_yor.written_in_slices
+
+    def recorded(df, name, *by):
+        out = written(df, name, *by)
+        rows.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(pitman_yor, "HOT_SHARE", 20, raising=False)
+    monkeypatch.setattr(pitman_yor, "written_in_slices", recorded)
+    docs = spark.createDataFrame([(i, " ".join(f"the x{i}y{j}" for j in range(100))) for i in range(40)], "doc_id long, text string")
+    assert pitman_yor.score(docs, pitman_yor.train(docs)).count() == 40
+    assert sum(rows) < 400  # of 8,000 pairs
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 10_000)
+    deal = pitman_yor.Deal(docs)
+    pairs, _ = pitman_yor.pairs_of(docs.selectExpr("*", "true as counted"), deal, "pairs")
+    shares = Counter()
+    for r in pairs.where("slice >= 0").collect():
+        u, n = pickle.loads(r.data)[:2]
+        shares[r.p] += int(n[u == pitman_yor.context(b"the")].sum())
+    assert deal.parts == 5 and sum(shares.values()) == 4000 and max(shares.values()) < 1500
+
+
 def test_seating_against_one_customer_after_the_other():
     """The mean number of tables, of customers who come in groups, against customers who come one by one."""
     rng = np.random.default_rng(13)
